@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from tracefold.llm import line_dedup
+from tracefold.llm import byte_bpe, line_dedup, packing
 
-QUERIES = {"op8_line_dedup": line_dedup.op8_line_dedup}
+QUERIES = {
+    "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op8_line_dedup": line_dedup.op8_line_dedup,
+    "op9_best_fit_packing": packing.op9_best_fit_packing,
+}
 ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
