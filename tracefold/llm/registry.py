@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from tracefold.llm import byte_bpe, line_dedup, packing
+from tracefold.llm import byte_bpe, chat, language_id, line_dedup, packing, toxicity
 
 QUERIES = {
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_language_id": language_id.op3_language_id,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op8_line_dedup": line_dedup.op8_line_dedup,
     "op9_best_fit_packing": packing.op9_best_fit_packing,
+    "op10_chat_format": chat.op10_chat_format,
+}
+ORACLES = {
+    "op8_line_dedup": line_dedup.ORACLE,
+    "op10_chat_format": chat.ORACLE,
 }
-ORACLES = {"op8_line_dedup": line_dedup.ORACLE}
