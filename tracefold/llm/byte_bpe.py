@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import blocks, texts
-from tracefold.llm.split import WordTable
+from tracefold.llm.split import WordTable, assemble
 
 BLOCK = 16 << 20
 _NONE = np.iinfo(np.int32).max
@@ -53,16 +53,16 @@ class MergeReplay:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.into[at], _NONE)
 
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """The ids of each word; a word that is itself in the vocabulary has one id."""
-        whole = [self.ranks.get(w) for w in words]
-        open_ = [w for w, i in zip(words, whole, strict=True) if i is None]
-        replayed = iter(self._replay(open_))
-        return [next(replayed) if i is None else [i] for i in whole]
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words and how many each has; a word that is itself in the vocabulary has one id."""
+        whole = np.array([self.ranks.get(w, -1) for w in words], np.int64)
+        kept = whole >= 0
+        ids, count = self._replay([w for w, has in zip(words, kept.tolist(), strict=True) if not has])
+        return assemble(kept, whole[kept], np.ones(int(kept.sum()), np.int64), ids, count)
 
-    def _replay(self, words: list[bytes]) -> list[list[int]]:
+    def _replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not words:
-            return []
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
         size = np.fromiter(map(len, words), np.int64, len(words))
         n, ends = int(size.sum()), np.cumsum(size)
         token = self.single[np.frombuffer(b"".join(words), np.uint8)]
@@ -122,9 +122,8 @@ class MergeReplay:
             left = before[at]
             enter(np.unique(np.concatenate((left[left >= 0], at[inner]))))
         alive = token >= 0
-        ids = token[alive].tolist()
-        stops = np.concatenate(([0], np.cumsum(alive)))[np.concatenate(([0], ends))].tolist()
-        return [ids[a:b] for a, b in zip(stops, stops[1:], strict=False)]
+        total = np.concatenate(([0], np.cumsum(alive)))
+        return token[alive], total[ends] - total[ends - size]
 
 
 class Codec(WordTable):
@@ -135,7 +134,7 @@ class Codec(WordTable):
         self.written = {i: str(i).encode() for i in ranks.values()}
         super().__init__(pattern)
 
-    def fresh(self, words: list[str]) -> list[list[int]]:
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         return self.replay.encode([w.encode() for w in words])
 
     def lists(self, documents: list[str]) -> Iterator[list[int]]:

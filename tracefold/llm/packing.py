@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import Scratch, blocks, texts
-from tracefold.llm.split import WordTable
+from tracefold.llm.split import WordTable, assemble
 
 CAPACITY = 2048
 END = 0
@@ -44,20 +44,20 @@ class WordIds(WordTable):
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         super().__init__(pattern)
 
-    def fresh(self, words: list[str]) -> list[list[int]]:
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # A line feed before each word is a match of its own, as a word has white space at most as its first
         # character, a space; so its id divides the words' ids.
-        plain = [not _SPACED(w) for w in words]
-        lone = iter(self.tokenizer.encode_batch([w for w, ok in zip(words, plain, strict=True) if not ok], add_special_tokens=False))
-        simple = [w for w, ok in zip(words, plain, strict=True) if ok]
-        found: list[list[int]] = []
-        for at in range(0, len(simple), TOGETHER):
-            ids = np.array(self.tokenizer.encode("\n" + "\n".join(simple[at : at + TOGETHER]), add_special_tokens=False).ids)
-            cuts = np.flatnonzero(ids == self.line[0])
-            ids = ids.tolist()
-            found += [ids[a + 1 : b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(ids)], strict=True)]
-        together = iter(found)
-        return [next(together) if ok else next(lone).ids for ok in plain]
+        simple = [w for w in words if not _SPACED(w)]
+        if len(simple) == len(words):
+            plain, lone = np.ones(len(words), bool), []
+        else:
+            plain = np.array([not _SPACED(w) for w in words])
+            lone = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if _SPACED(w)], add_special_tokens=False)]
+        joined = ["\n" + "\n".join(simple[at : at + TOGETHER]) for at in range(0, len(simple), TOGETHER)]
+        found = [np.zeros(0, np.int64), *(np.array(e.ids) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))]
+        ids = np.concatenate(found)
+        cut = ids == self.line[0]
+        return assemble(plain, ids[~cut], np.diff(np.append(np.flatnonzero(cut), len(ids))) - 1, np.array([i for x in lone for i in x], np.int64), np.array([*map(len, lone)], np.int64))
 
 
 @lru_cache(maxsize=1)

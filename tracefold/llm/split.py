@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import regex
@@ -11,10 +13,21 @@ import regex
 #: A text is cut into parts of about so many characters, always where no match can go on.
 PART = 1 << 20
 #: A worker keeps the ids of about so many distinct matches.
-WORDS = 300_000
+WORDS = 450_000
 #: Before a single space between two other characters: a match has a space only at its start, or is white space alone.
 _CUT = regex.compile(r"(?<=\S)(?= \S)")
 
+#: Over these characters the standard library's classes say the same as the pattern's, in two thirds of the time.
+_PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PLAIN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?[^\s\w]+|\s+(?!\S)|\s+").findall
+_NOT_PLAIN = re.compile("[^\t-\r -^`-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]").search
+
+
+def matcher(pattern: str):
+    """All matches of the pattern in a text."""
+    find = regex.compile(pattern).findall
+    return find if pattern != _PLAIN_PATTERN else lambda text: find(text) if _NOT_PLAIN(text) else _PLAIN(text)
+
 
 def parts(text: str, most: int = PART) -> Iterator[str]:
     """Parts of the text whose matches, one after the other, are those of the whole text."""
@@ -28,15 +41,25 @@ def parts(text: str, most: int = PART) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+def assemble(first: np.ndarray, ids: np.ndarray, count: np.ndarray, other: np.ndarray, other_count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sets of words in their common order: where ``first`` holds, the next of ``ids``, else of ``other``."""
+    total = np.empty(len(first), np.int64)
+    total[first], total[~first] = count, other_count
+    mask = np.repeat(first, total)
+    both = np.empty(len(mask), np.int64)
+    both[mask], both[~mask] = ids, other
+    return both, total
+
+
 class WordTable:
     """Ids of whole texts from the ids of their distinct matches, each asked for once while the table keeps it."""
 
     def __init__(self, pattern: str):
-        self.find = regex.compile(pattern).findall
+        self.find = matcher(pattern)
         self.clear()
 
-    def fresh(self, words: list[str]) -> list[list[int]]:
-        """The ids of words that the table has not got."""
+    def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words that the table has not got, one word after the other, and how many each has."""
         raise NotImplementedError
 
     def clear(self) -> None:
@@ -56,10 +79,9 @@ class WordTable:
             ends.append(n)
         words = np.concatenate(found)
         if len(self.place) > known:
-            new = self.fresh([*self.place][known:])
-            count = np.fromiter(map(len, new), np.int64, len(new))
+            ids, count = self.fresh([*islice(self.place, known, None)])
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(count) - count])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for x in new for i in x), np.uint32, int(count.sum()))])
+            self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
             self.count = np.concatenate([self.count, count])
         count = self.count[words]
         stops = np.cumsum(count)
