@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracefold.llm import byte_bpe, chat, language_id, line_dedup, packing, toxicity
+from tracefold.llm import byte_bpe, chat, language_id, line_dedup, media, packing, toxicity
 
 QUERIES = {
+    "op1_media_columns": media.op1_media_columns,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
     "op3_language_id": language_id.op3_language_id,
     "op4_toxicity": toxicity.op4_toxicity,
