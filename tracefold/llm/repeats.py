@@ -12,7 +12,8 @@ symbol of every string in front, and inserts the new suffixes into the collectio
 array of common prefixes, which are read and written as sequential files. A suffix that has a neighbour with a common
 prefix of ``LENGTH`` bytes is a repeat. The files are held in memory as long as they are small, as collections are.
 
-Pieces of a core that has more than ``MOST`` of them are not collected: their strings' hashes are counted.
+Segments and pieces that stand twice as a whole are repeats without more ado, and only one of each kind takes part in
+the comparison. Pieces of a core that has more than ``MOST`` kinds are not collected: their strings' hashes are counted.
 
 Edge cases: a null or empty text has no bytes; matches never cross rows; rows that repeat a doc_id are documents of
 their own; texts under 200 bytes are left as they are; a null doc_id stays null; an empty table gives an empty result;
@@ -40,7 +41,7 @@ GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 WIDTH = 34
 CORE = LENGTH - WIDTH + 1
-MOST = 1_000
+MOST = 2_000
 BUNDLE = 2_000
 BLOCK = 4 << 20
 STEP = 1 << 20
@@ -272,34 +273,51 @@ def _small(spans: DataFrame, column: str) -> DataFrame:
     return F.broadcast(spans) if 64 * rows + 8 * (inner or 0) <= BROADCAST_BYTES else spans
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Marked for broadcast if there are, as counted, no more than the bound."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+
+
 def removed_runs(spark: SparkSession, keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """(_tf_id, _tf_hash, _tf_begins, _tf_ends) for each document of (_tf_id, _tf_hash, text) that loses bytes."""
+    columns = ["_tf_id", "_tf_hash", "start", "n"]
     found = scratch.table(keyed.mapInArrow(_segments, f"{_OWNER}, start int, n int, class long, content long, again boolean"), "segments")
     classes = found.groupBy("class").agg(F.count("*").alias("rows"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("again").alias("again"))
     classes = classes.filter("rows > 1 or again").select("class", (F.col("rows") > 1).alias("_many"), ((F.col("rows") > 1) & (F.col("lo") == F.col("hi"))).alias("_same"))
     classes = scratch.table(classes, "classes")
-    flagged = found.join(F.broadcast(classes) if classes.count() <= BROADCAST_ROWS else classes, "class")
-    flagged = scratch.table(flagged.select("_tf_id", "_tf_hash", "start", "n", "_same"), "flagged")
+    flagged = found.join(_few(classes), "class")
+    flagged = scratch.table(flagged.select(*columns, "class", "content", "_same"), "flagged")
     scratch.drop("segments")
 
-    open_ = scratch.table(_by_document(flagged.filter("not _same")), "open")
-    cut = keyed.join(_small(open_, "starts"), ["_tf_id", "_tf_hash"]).select("_tf_id", "_tf_hash", "text", "starts", "counts")
-    pieces = scratch.table(cut.mapInArrow(_pieces, f"{_OWNER}, core long, whole long, bin int, start int, n int, left binary, right binary"), "pieces")
+    # Segments that stand twice are repeats; one of each kind goes on, as others may share a part of it.
+    mixed = flagged.filter("not _same")
+    kinds = scratch.table(mixed.groupBy("class", "content").agg(F.count("*").alias("_rows"), F.min(F.struct(*columns)).alias("_one")), "kinds")
+    equal = mixed.join(_few(kinds.filter("_rows > 1").select("class", "content")), ["class", "content"]).select(*columns)
+    open_ = scratch.table(_by_document(kinds.select("_one.*")), "open")
+    cut = keyed.join(_small(open_, "starts"), ["_tf_id", "_tf_hash"])
+    pieces = scratch.table(cut.select("_tf_id", "_tf_hash", "text", "starts", "counts").mapInArrow(_pieces, f"{_OWNER}, core long, whole long, bin int, start int, n int, left binary, right binary"), "pieces")
     cores = pieces.groupBy("core").agg(F.count("*").alias("_rows"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("_rows > 1")
-    cores = scratch.table(cores.select("core", "_rows", (F.col("lo") == F.col("hi")).alias("_same")), "cores")
-    met = scratch.table(pieces.join(F.broadcast(cores) if cores.count() <= BROADCAST_ROWS else cores, "core"), "met")
+    cores = scratch.table(cores.select("core", (F.col("lo") == F.col("hi")).alias("_same")), "cores")
+    met = scratch.table(pieces.join(_few(cores), "core"), "met")
     scratch.drop("pieces")
 
-    small = met.filter(f"not _same and _rows <= {MOST}")
-    bundles = max(1, -(-small.count() // BUNDLE))
+    # The same for pieces: what stands twice is a repeat, and one of each kind is compared with the others of its core.
+    unlike = met.filter("not _same")
+    whole = scratch.table(unlike.groupBy("core", "whole").agg(F.count("*").alias("_rows"), F.min(F.struct(*columns)).alias("_one"), F.min(F.struct("bin", "left", "right")).alias("_bytes")), "whole")
+    twin = unlike.join(_few(whole.filter("_rows > 1").select("core", "whole")), ["core", "whole"]).select(*columns)
+    many = scratch.table(whole.groupBy("core").agg(F.count("*").alias("_kinds")).filter("_kinds > 1"), "many")
+    compared = whole.select("core", "_one.*", "_bytes.*").join(_few(many), "core")
+    small = compared.filter(f"_kinds <= {MOST}")
+    bundles = max(1, -(-(many.filter(f"_kinds <= {MOST}").agg(F.sum("_kinds")).first()[0] or 0) // BUNDLE))
     sorted_ = small.withColumn("bundle", F.pmod(F.xxhash64("core"), F.lit(bundles))).groupBy("bundle").applyInPandas(_bundle, f"{_OWNER}, start int, n int")
-    large = met.filter(f"not _same and _rows > {MOST}").select("_tf_id", "_tf_hash", "core", "bin", "start", "n", "left", "right")
+    large = compared.filter(f"_kinds > {MOST}").select("_tf_id", "_tf_hash", "core", "bin", "start", "n", "left", "right")
     lone = scratch.table(large.mapInArrow(_lone, f"{_OWNER}, start int, string long"), "lone")
-    twice = lone.groupBy("string").agg(F.count("*").alias("_rows")).filter("_rows > 1")
+    twice = lone.groupBy("string").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("string")
     counted = lone.join(twice, "string").select("_tf_id", "_tf_hash", "start", F.lit(1).alias("n"))
 
-    columns = ["_tf_id", "_tf_hash", "start", "n"]
-    spans = flagged.filter("_same").select(*columns).unionByName(met.filter("_same").select(*columns)).unionByName(sorted_).unionByName(counted)
+    spans = flagged.filter("_same").select(*columns)
+    for more in (equal, met.filter("_same").select(*columns), twin, sorted_, counted):
+        spans = spans.unionByName(more)
     return scratch.table(_by_document(spans).mapInArrow(_runs, f"{_OWNER}, _tf_begins array<int>, _tf_ends array<int>"), "runs")
 
 
