@@ -51,7 +51,11 @@ COMMIT_MESSAGE = r"""git\s+commit[^\n]*?-m\s+(?:"((?:[^"\\]|\\.)*)"|'((?:[^'\\]|
 COMMIT_HASHES = (r"\[\S+\s+([0-9a-f]{7,12})\]", r"\b[0-9a-f]{7,12}\.\.([0-9a-f]{7,12})\b", r"\b([0-9a-f]{8,12})\b")
 PIPE_TAIL = r"(?:\s*\|\s*(?:head|tail|sort|wc|column|tr|cut|uniq)(?:\s[^|]*)?){1,10}$"
 SKILL_BLOCK = r"""<skill\s+name="([^"]+)"[^>]*>(?s:.*?)(?:</skill>|$)"""
-RETRYABLE = r"(?i)rate.?limit|too many requests|overloaded|timeout|timed out|temporar|unavailable|\b(429|500|502|503|504|529)\b|ECONNRESET|ETIMEDOUT|network"
+RETRYABLE = (
+    r"(?i)overloaded|provider.?returned.?error|rate.?limit|too many requests|429|500|502|503|504|service.?unavailable|server.?error|internal.?error|network.?error|connection.?error"
+    r"|connection.?refused|connection.?lost|websocket.?closed|websocket.?error|other side closed|fetch failed|upstream.?connect|reset before headers|socket hang up|ended without"
+    r"|http2 request did not get a response|timed? out|timeout|terminated|retry delay"
+)
 REGEX_SIGNS = set("|*+?{}()[]\\^$.")
 
 #: Caps (fixed values).

@@ -149,7 +149,7 @@ def common_directory(paths: Column) -> Column:
 
 
 def thousands(c: Column) -> Column:
-    return F.when(c >= 1000, F.concat(F.format_number(c / 1000, "0.0"), F.lit("k"))).otherwise(c.cast("string"))
+    return F.when(c >= 1000, F.format_string("%.1fk", c / 1000)).otherwise(c.cast("string"))
 
 
 _WORD = re.compile(r"[^\W_]+")

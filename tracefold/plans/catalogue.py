@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import fixed, text
-from tracefold.operators import dropping, ledger, provenance, search, windows
+from tracefold.operators import dropping, ledger, provenance, search, summary, windows
 from tracefold.sources import adapters
 from tracefold.sources.adapters import EVENTS_SQL, LOG_SQL
+from tracefold.sources.scratch import Scratch
 from tracefold.sources.tables import table
+from tracefold.streaming import due
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -585,3 +587,65 @@ def merge_sections(spark, d):
     sides = _log(spark, d).groupBy("session_id").agg(own(F.col("role") == "user").alias("a"), own(F.col("role") != "user").alias("b"))
     kept = windows.merge_capped(F.col("a"), F.col("b"), 8)
     return sides.select("session_id", F.array_join(kept, "\n").alias("lines")).filter("lines <> ''")
+
+
+# ------------------------------------------------------------------------------------------------ summaries and triggers
+
+
+def _conversation_blocks(spark, d) -> DataFrame:
+    kind = F.when(F.col("role") == "user", "user").when(F.col("role") == "assistant", "assistant")
+    none = F.lit(None).cast("string")
+    rows = _log(spark, d).withColumn("kind", kind).filter("kind is not null")
+    return rows.select("session_id", F.col("pos").alias("message_index"), F.lit(0).alias("part_idx"), "kind", text.sanitize(F.col("text")).alias("text"), none.alias("name"), none.alias("args"), F.lit(False).alias("is_error"), none.alias("command"), none.alias("output"))
+
+
+@query("compile_conversations")
+def compile_conversations(spark, d):
+    """Each conversation's summary: goals, blockers, preferences and a brief transcript."""
+    return summary.compile_sessions(summary.prepared(_conversation_blocks(spark, d))).select("session_id", "summary", "n_blocks")
+
+
+_DUE = {"observeAfterTokens": 1_000, "reflectAfterTokens": 2_000, "observationsPoolMaxTokens": 2_000, "dropperPressureThreshold": 0.7, "reflectorInputMaxTokens": 2_500}
+
+
+@query(
+    "stages_due",
+    f"""with {EVENTS_SQL}, {_FOLD.format(obs="obs", drp="drp")},
+  """ + ", ".join(
+        f"""m_{t} as (select session_id, max(covers) as cursor from {t} where covers >= 0 group by session_id),
+  s_{t} as (select s.session_id, sum(case when s.pos > coalesce(m.cursor, -1) then s.tok else 0 end) as n from src s left join m_{t} m using (session_id) group by 1)"""
+        for t in ("obs", "refl", "drp")
+    ) + """, h as (select session_id, sum(tok) as held from act group by 1)
+  select s_obs.session_id, s_obs.n >= 1000 as observe, s_refl.n >= 2000 as reflect, coalesce(held, 0) / 2000.0 >= 0.10 and (coalesce(held, 0) >= 1750 or s_drp.n >= 2000) as drop
+  from s_obs join s_refl using (session_id) join s_drp using (session_id) left join h using (session_id)""",
+)
+def stages_due(spark, d):
+    """Which sessions are due for observation, reflection and dropping."""
+    ev = _events(spark, d)
+    markers = {"observed": adapters.observations(ev), "reflected": adapters.reflections(ev), "dropped": adapters.drops(ev)}
+    return due.due(adapters.sources(ev), markers, ledger.fold(markers["observed"], markers["dropped"]), _DUE)
+
+
+def _trigger_rows(spark, d) -> DataFrame:
+    ev = _events(spark, d)
+    kind = F.when(F.col("event_type").isin("view", "click"), "source").when(F.col("event_type") == "purchase", "marker")
+    return ev.select("session_id", "pos", kind.alias("kind"), "tok").filter("kind is not null")
+
+
+@query("stage_due_batch")
+def stage_due_batch(spark, d):
+    """Where each session's tokens since its last marker or trigger reach the threshold."""
+    return due.triggers_batch(_trigger_rows(spark, d), 400)
+
+
+@query("stage_due_stream")
+def stage_due_stream(spark, d):
+    """The same found by a stateful stream over files of the log, until all of them are read."""
+    scratch = Scratch(spark, "stream")
+    rows = scratch.table(_trigger_rows(spark, d), "log")
+    # a session's positions arrive in order: its rows are in one file each, so no file overtakes another
+    stream = spark.readStream.schema(rows.schema).parquet(f"{scratch.root}/log")
+    out = f"{scratch.root}/out"
+    run = due.triggers(stream, 400).writeStream.format("parquet").option("checkpointLocation", f"{scratch.root}/state").outputMode("append").trigger(availableNow=True).start(out)
+    run.awaitTermination()
+    return spark.read.schema(f"session_id {rows.schema['session_id'].dataType.simpleString()}, pos long, tokens long").parquet(out)
