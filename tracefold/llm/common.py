@@ -2,57 +2,27 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute available
 from pyspark.sql import DataFrame, SparkSession
 
-_OWN: list[str] = []
+from tracefold.sources.scratch import Scratch, shared_dir  # noqa: F401
+
 SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
+#: Rows of an Arrow batch. Texts may be long, and the JVM and the worker each hold a batch or two.
+BATCH_ROWS = 2_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a session without that setting (a test on one machine) gets a local folder.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not _OWN:
-            _OWN.append("file://" + tempfile.mkdtemp(prefix="tracefold-"))
-        found = _OWN[0]
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables that cut a lineage: written once to the shared folder, so that a lost executor costs no recomputation."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.root = f"{shared_dir(spark)}/tracefold/{name}-{uuid.uuid4().hex}"
-        atexit.register(self.drop)
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        """Remove one table, or all of them; nothing happens once the session has ended."""
-        try:
-            jvm = self.spark.sparkContext._jvm
-            path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-        except Exception:  # the JVM may be gone at exit; the folder is scratch either way
-            pass
+def small_batches(spark: SparkSession) -> None:
+    """Lets the session hand texts to Python workers in batches of at most ``BATCH_ROWS`` rows."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def blocks(batches: Iterator[pa.RecordBatch], text: str, most: int) -> Iterator[pa.RecordBatch]:
