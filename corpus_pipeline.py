@@ -28,31 +28,36 @@ def _documents(changed: DataFrame, columns: list[str]) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go. The model learns from the labels of the training folds."""
+    common.small_batches(spark)
     labels = common.table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
     return toxic.score(spark, docs, toxic.train(docs, labels)).filter("predicted = 0").select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common lines go from all documents but one."""
+    common.small_batches(spark)
     return _documents(line_dedup.dedup_lines(spark, docs), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    common.small_batches(spark)
     gone = near_dedup.near_duplicates(spark, docs, SIMILARITY).filter("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte strings of 200 that occur twice go; what is left of characters that were cut goes too."""
+    common.small_batches(spark)
     return _documents(repeats.remove_repeats(spark, docs), docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens: a row for each piece of a document."""
+    common.small_batches(spark)
     import public_tokenizers
 
-    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return packing.pack(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, forget=True)
 
 
 STAGES = [("toxicity", toxicity), ("lines", lines), ("near_duplicates", near_duplicates), ("suffixes", suffixes), ("pack", pack)]

@@ -22,11 +22,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import SPACE, Scratch, blocks, texts
+from tracefold.llm.common import SPACE, Scratch, blocks, texts, thrifty
 
 MIN_CHARS = 40
 MIN_DOCS = 5
-BLOCK = 8 << 20
+BLOCK = 4 << 20
 SHARD_KEYS = 50_000
 #: The filters are broadcast up to this size; beyond it every long line goes to the join, with the same result.
 FILTER_BYTES = 16 << 20
@@ -118,7 +118,7 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS, screen=None) -> DataFr
                 pairs, at = pairs[held], at.filter(pa.array(held))
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), at], names=["k1", "k2", "doc_id"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "k1 long, k2 long, doc_id long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), "k1 long, k2 long, doc_id long")
 
 
 def reference_counts(rows: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS,
 
     from pyspark.sql.types import StructType
 
-    return joined.mapInArrow(run, StructType([*fields, *StructType.fromDDL(schema).fields]))
+    return joined.mapInArrow(thrifty(run), StructType([*fields, *StructType.fromDDL(schema).fields]))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

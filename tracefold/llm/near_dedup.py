@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import Scratch, blocks, texts
+from tracefold.llm.common import Scratch, blocks, texts, thrifty
 from tracefold.llm.components import connected
-from tracefold.llm.shingles import mix, shingle_set
+from tracefold.llm.shingles import forget, mix, shingle_set
 
 WORDS = 5
 SIMILARITY = (85, 100)
@@ -107,8 +107,9 @@ def signatures(docs: DataFrame) -> DataFrame:
                 [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0], mask=~has), pa.array(names[:, 1], mask=~has), pa.array([next(made).tobytes() if x else None for x in has], pa.binary())],
                 names=["doc_id", "n", "s1", "s2", "sketch"],
             )
+        forget()  # the worker goes on to other work
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, s1 long, s2 long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), "doc_id long, n long, s1 long, s2 long, sketch binary")
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,6 +178,7 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns = dict(zip(b.schema.names, b.columns, strict=True))
         made = [shingle_set(t, WORDS).tobytes() for t in texts(b, "text")]
         yield pa.RecordBatch.from_arrays([columns["node"], columns["family"], columns["blocks"], pa.array(made, pa.binary())], names=["node", "family", "blocks", "shingles"])
+    forget()
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
@@ -185,7 +187,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: tuple[int,
     signed = scratch.table(signatures(docs), "signatures")
     sets = scratch.table(signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "sets")
     nodes = signed.join(sets.select("s1", "s2", F.col("node").alias("_node")), ["s1", "s2"]).filter(F.col("doc_id") == F.col("_node")).select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    bands = scratch.table(nodes.mapInArrow(_bands, "key long, node long"), "bands")
+    bands = scratch.table(nodes.mapInArrow(thrifty(_bands), "key long, node long"), "bands")
     heads = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").select("key", "a")
     family = connected(bands.join(heads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), scratch, "families")
     scratch.drop("bands")
@@ -194,7 +196,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: tuple[int,
     few = family.count() <= BROADCAST_IDS
     source = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
     full = source.join(F.broadcast(family) if few else family, "node")
-    made = full.mapInArrow(_shingles, "node long, family long, blocks int, shingles binary")
+    made = full.mapInArrow(thrifty(_shingles), "node long, family long, blocks int, shingles binary")
     sketch = signed.select(F.col("doc_id").alias("node"), "sketch")
     sketch = sketch.join(F.broadcast(family.select("node")) if few else family.select("node"), "node")
     rows = made.join(sketch, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

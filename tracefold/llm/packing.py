@@ -11,6 +11,7 @@ doc_id stays null; an empty table gives an empty result; other columns are not r
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import Scratch, blocks, texts
+from tracefold.llm.common import Scratch, blocks, texts, thrifty
 from tracefold.llm.split import WordTable, assemble
 
 CAPACITY = 2048
 END = 0
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 TOGETHER = 200
 _SPACED = regex.compile(r"(?s).+?\s|[^\S ]").match
 
@@ -37,6 +38,7 @@ class WordIds(WordTable):
     """Ids by the tokenizers library, asked for all new words of a block in a few texts."""
 
     def __init__(self, path: str, pattern: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -54,7 +56,9 @@ class WordIds(WordTable):
             plain = np.array([not _SPACED(w) for w in words])
             lone = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if _SPACED(w)], add_special_tokens=False)]
         joined = ["\n" + "\n".join(simple[at : at + TOGETHER]) for at in range(0, len(simple), TOGETHER)]
-        found = [np.zeros(0, np.int64), *(np.array(e.ids) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False))]
+        found = [np.zeros(0, np.int64)]
+        for at in range(0, len(joined), 50):  # what the library returns holds much more than ids
+            found += [np.array(e.ids) for e in self.tokenizer.encode_batch_fast(joined[at : at + 50], add_special_tokens=False)]
         ids = np.concatenate(found)
         cut = ids == self.line[0]
         return assemble(plain, ids[~cut], np.diff(np.append(np.flatnonzero(cut), len(ids))) - 1, np.array([i for x in lone for i in x], np.int64), np.array([*map(len, lone)], np.int64))
@@ -132,10 +136,11 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.nda
     return np.array(rows, np.int64).reshape(-1, 5)
 
 
-def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """Each document's ids and the end token, cut into pieces of at most ``capacity``; only a first piece is shorter.
 
-    task and place number the pieces of one length that a task has written.
+    task and place number the pieces of one length that a task has written. ``forget``: after each task a worker gives
+    the memory of its known words back, for a session in which it goes on to other work.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place", *["ids"] * with_ids]
 
@@ -155,15 +160,17 @@ def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACI
                     at, cut = cut, cut + capacity
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds)], names=names)
+        if forget:
+            words.clear()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, place long" + ", ids array<long>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), schema)
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """All pieces with the sequence that each goes to and its offset there."""
     scratch = Scratch(spark, "pack")
-    cut = scratch.table(pieces(docs, tokenizer, pattern, capacity, with_ids), "pieces")
+    cut = scratch.table(pieces(docs, tokenizer, pattern, capacity, with_ids, forget), "pieces")
     counts = cut.groupBy("length", "task").agg(F.count("*").alias("n"))
     before = counts.select("length", "task", (F.sum("n").over(Window.partitionBy("length").orderBy("task")) - F.col("n")).alias("before"))
     # at most `capacity` rows, whatever the input
@@ -185,7 +192,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, pattern: str, cap
             yield pa.RecordBatch.from_arrays([*found, *([get("ids")] if with_ids else [])], names=names)
 
     ranked = cut.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "task", "place")
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<long>" * with_ids)
+    return ranked.mapInArrow(thrifty(place), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids array<long>" * with_ids)
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tracefold.llm.common import Scratch, blocks, texts
+from tracefold.llm.common import Scratch, blocks, texts, thrifty
 
 LENGTH = 200
 GRAM = 32
@@ -281,7 +281,7 @@ def _few(keys: DataFrame) -> DataFrame:
 def removed_runs(spark: SparkSession, keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """(_tf_id, _tf_hash, _tf_begins, _tf_ends) for each document of (_tf_id, _tf_hash, text) that loses bytes."""
     columns = ["_tf_id", "_tf_hash", "start", "n"]
-    found = scratch.table(keyed.mapInArrow(_segments, f"{_OWNER}, start int, n int, class long, content long, again boolean"), "segments")
+    found = scratch.table(keyed.mapInArrow(thrifty(_segments), f"{_OWNER}, start int, n int, class long, content long, again boolean"), "segments")
     classes = found.groupBy("class").agg(F.count("*").alias("rows"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("again").alias("again"))
     classes = classes.filter("rows > 1 or again").select("class", (F.col("rows") > 1).alias("_many"), ((F.col("rows") > 1) & (F.col("lo") == F.col("hi"))).alias("_same"))
     classes = scratch.table(classes, "classes")
@@ -295,7 +295,7 @@ def removed_runs(spark: SparkSession, keyed: DataFrame, scratch: Scratch) -> Dat
     equal = mixed.join(_few(kinds.filter("_rows > 1").select("class", "content")), ["class", "content"]).select(*columns)
     open_ = scratch.table(_by_document(kinds.select("_one.*")), "open")
     cut = keyed.join(_small(open_, "starts"), ["_tf_id", "_tf_hash"])
-    pieces = scratch.table(cut.select("_tf_id", "_tf_hash", "text", "starts", "counts").mapInArrow(_pieces, f"{_OWNER}, core long, whole long, bin int, start int, n int, left binary, right binary"), "pieces")
+    pieces = scratch.table(cut.select("_tf_id", "_tf_hash", "text", "starts", "counts").mapInArrow(thrifty(_pieces), f"{_OWNER}, core long, whole long, bin int, start int, n int, left binary, right binary"), "pieces")
     cores = pieces.groupBy("core").agg(F.count("*").alias("_rows"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("_rows > 1")
     cores = scratch.table(cores.select("core", (F.col("lo") == F.col("hi")).alias("_same")), "cores")
     met = scratch.table(pieces.join(_few(cores), "core"), "met")
@@ -311,14 +311,14 @@ def removed_runs(spark: SparkSession, keyed: DataFrame, scratch: Scratch) -> Dat
     bundles = max(1, -(-(many.filter(f"_kinds <= {MOST}").agg(F.sum("_kinds")).first()[0] or 0) // BUNDLE))
     sorted_ = small.withColumn("bundle", F.pmod(F.xxhash64("core"), F.lit(bundles))).groupBy("bundle").applyInPandas(_bundle, f"{_OWNER}, start int, n int")
     large = compared.filter(f"_kinds > {MOST}").select("_tf_id", "_tf_hash", "core", "bin", "start", "n", "left", "right")
-    lone = scratch.table(large.mapInArrow(_lone, f"{_OWNER}, start int, string long"), "lone")
+    lone = scratch.table(large.mapInArrow(thrifty(_lone), f"{_OWNER}, start int, string long"), "lone")
     twice = lone.groupBy("string").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("string")
     counted = lone.join(twice, "string").select("_tf_id", "_tf_hash", "start", F.lit(1).alias("n"))
 
     spans = flagged.filter("_same").select(*columns)
     for more in (equal, met.filter("_same").select(*columns), twin, sorted_, counted):
         spans = spans.unionByName(more)
-    return scratch.table(_by_document(spans).mapInArrow(_runs, f"{_OWNER}, _tf_begins array<int>, _tf_ends array<int>"), "runs")
+    return scratch.table(_by_document(spans).mapInArrow(thrifty(_runs), f"{_OWNER}, _tf_begins array<int>, _tf_ends array<int>"), "runs")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -344,7 +344,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
             kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([*(columns[c] for c in others), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], names=[*others, *made])
 
-    return joined.mapInArrow(run, StructType([*(docs.schema[c] for c in others), *StructType.fromDDL("text string, n_bytes long, n_removed long, n_spans long, kept binary").fields]))
+    return joined.mapInArrow(thrifty(run), StructType([*(docs.schema[c] for c in others), *StructType.fromDDL("text string, n_bytes long, n_removed long, n_spans long, kept binary").fields]))
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

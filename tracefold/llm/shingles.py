@@ -8,7 +8,7 @@ import numpy as np
 import xxhash
 
 #: A worker keeps the hashes of about so many words.
-WORDS = 300_000
+WORDS = 150_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SHIFTS = (np.uint64(30), np.uint64(27), np.uint64(31))
 _FACTORS = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -23,6 +23,11 @@ class _Hashes(defaultdict):
 _known = _Hashes()
 
 
+def forget() -> None:
+    """Gives the memory of known words back."""
+    _known.clear()
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ h >> _SHIFTS[0]) * _FACTORS[0]
     h = (h ^ h >> _SHIFTS[1]) * _FACTORS[1]

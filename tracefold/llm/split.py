@@ -13,7 +13,7 @@ import regex
 #: A text is cut into parts of about so many characters, always where no match can go on.
 PART = 1 << 20
 #: A worker keeps the ids of about so many distinct matches.
-WORDS = 450_000
+WORDS = 350_000
 #: Before a single space between two other characters: a match has a space only at its start, or is white space alone.
 _CUT = regex.compile(r"(?<=\S)(?= \S)")
 

@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import blocks, texts
+from tracefold.llm.common import blocks, texts, thrifty
 from tracefold.llm.sampling import remainder, sample_by_label
 
 #: Rows of each class, about, that the model is fitted on, and the longest text among them.
@@ -30,8 +30,8 @@ TRAIN_CHARS = 10_000
 BITS, DIMENSIONS, WINDOW, ORDERS = 17, 8, 48, (4, 5, 6)
 MIN_DOCUMENTS, LEAST, TOXIC_WEIGHT = 6, 16, 0.35
 EPOCHS, RATE, DECAY, SEED = 200, 0.05, 1e-5, 7
-BLOCK = 4 << 20
-WORDS = 300_000
+BLOCK = 2 << 20
+WORDS = 200_000
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 _PRIME = np.uint64(0x100000001B3)
 
@@ -123,6 +123,9 @@ class Constant:
     def __init__(self, share: float):
         self.share = share
 
+    def clear(self) -> None:
+        pass
+
     def predict(self, documents: list[str]) -> np.ndarray:
         return np.full(len(documents), self.share)
 
@@ -201,8 +204,9 @@ def score(spark: SparkSession, docs: DataFrame, model: Model | Constant) -> Data
         for b in blocks(batches, "text", BLOCK):
             found = shared.value.predict(texts(b, "text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found), pa.array((found >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+        shared.value.clear()  # the worker goes on to other work
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, *StructType.fromDDL("score double, predicted int").fields]))
+    return kept.mapInArrow(thrifty(run), StructType([*kept.schema.fields, *StructType.fromDDL("score double, predicted int").fields]))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
