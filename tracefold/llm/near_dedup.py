@@ -210,3 +210,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: tuple[int,
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') as w from documents
+), sets as (
+  select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s from words
+), shingles as (
+  select doc_id, len(s) as n, unnest(s) as g from sets
+), pairs as (
+  select a.doc_id as a, b.doc_id as b, any_value(a.n) + any_value(b.n) as both_n, count(*) as common
+  from shingles a join shingles b on a.g = b.g and a.doc_id <> b.doc_id and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2
+), link as (
+  select a, b from pairs where 100 * common >= 85 * (both_n - common)
+), reach(node, other) as (
+  select doc_id, doc_id from sets union select r.node, l.b from reach r join link l on r.other = l.a
+)
+select s.doc_id, cast(len(s) as bigint) as n_shingles, r.component_id, r.component_id = s.doc_id as kept
+from sets s join (select node, min(other) as component_id from reach group by node) r on r.node = s.doc_id
+"""

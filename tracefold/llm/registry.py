@@ -17,9 +17,8 @@ QUERIES = {
     "op10_chat_format": chat.op10_chat_format,
 }
 ORACLES = {
+    "op6_minhash_near_dedup": near_dedup.ORACLE,
     "op7_embedding_near_dedup": embedding_dedup.ORACLE,
-    "op5_suffix_dedup": repeats.op5_suffix_dedup,
-    "op6_minhash_near_dedup": near_dedup.op6_minhash_near_dedup,
     "op8_line_dedup": line_dedup.ORACLE,
     "op10_chat_format": chat.ORACLE,
 }

@@ -50,7 +50,7 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         bucket.append(((mixed * np.uint64(0x9E3779B97F4A7C15 + 2 * n)) >> np.uint64(64 - BITS)).astype(np.int32))
         owner.append(word[at].astype(np.int32))
 
-    for n in range(1, max(ORDERS) + 1):
+    for n in range(1, min(max(ORDERS), len(points)) + 1):
         total[: len(points) - n + 1] = (total[: len(points) - n + 1] ^ points[n - 1 :]) * _PRIME
         if n in ORDERS:
             put(np.flatnonzero(rest >= n), n)
