@@ -117,7 +117,7 @@ def test_provenance(logs):
 
 def test_memory_text(logs):
     memory = logs.memory().filter("session_id = 'memory'").first().memory
-    assert memory == f"## Reflections\n[{R1}] learnt\n\n## Observations\n[{O2}] 2026-05-02 10:00 [high] seen"
+    assert memory == f"## Reflections\n[{R1}] learnt\n\n## Observations\n[{O2}] 2026-05-02 10:00 [high] seen\n\n{fixed.MEMORY_NOTE}"
 
 
 def test_cut(spark, tmp_path):
@@ -140,7 +140,7 @@ def test_compaction_merges_the_last_summary(spark, tmp_path):
     assert one.first_kept_entry_id == "5"
     for piece in ("[Session Goal]\n- Implement the login page", "Modified: /r/s/a.py", "- 1234abc: add page", "[bash] boom", "- always use tabs here", "[tool_error] bash (#3)", '* bash "git commit'):
         assert piece in one.summary, piece
-    assert one.summary.replace("\n", " ").endswith(fixed.RECALL_NOTE)
+    assert fixed.RECALL_NOTE in one.summary.replace("\n", " ") and one.summary.endswith(fixed.RECALL_HINT)
     again = [*first, entry("compaction", "c", firstKeptEntryId="5", summary=one.summary), message("6", "assistant", "done"), message("7", "user", "Now I want a logout page please")]
     two = Sessions(spark, write(tmp_path, s=again)).compact().first()
     assert "Implement the login page" in two.summary and "- 1234abc: add page" in two.summary and "boom" in two.summary.split("---")[1] and "Outstanding" not in two.summary
@@ -224,3 +224,75 @@ def test_empty_folder_of_entries(spark, tmp_path):
     logs = Sessions(spark, write(tmp_path, s=[""]))
     assert logs.search("x").count() == 0 and logs.active().count() == 0 and logs.cut().count() == 0 and logs.compact().count() == 0
     assert logs.entries.filter(F.col("is_source")).count() == 0
+
+
+# ------------------------------------------------------------------------------------------------ texts of entries, extractors, cursors
+
+
+def test_source_entries_as_text(spark, tmp_path):
+    from tracefold.operators import serialize
+
+    rows = [
+        message("a", "user", "hi\n\nthere", timestamp=1777716000000),
+        message("b", "assistant", [part("one"), {"type": "thinking", "thinking": "t"}, {"type": "thinking", "thinking": "x", "redacted": True}, call("ls", {"path": "p"})]),
+        message("c", "toolResult", [part("out"), {"type": "image", "mimeType": "image/png"}], toolName="ls", isError=False),
+        entry("custom_message", "d", customType="note", content="n"),
+        entry("branch_summary", "e", summary="s", timestamp="odd"),
+        message("f", "assistant", []),
+        entry("custom", "g", customType="x", data={}),
+    ]
+    log = Sessions(spark, write(tmp_path, s=rows)).entries
+    plain = {r.entry_id: r.line for r in serialize.rendered(log).collect()}
+    assert plain == {
+        "a": "[User @ 2026-05-02 10:00]: hi\n\nthere",
+        "b": '[Assistant @ ????-??-?? ??:??]: one\n[thinking: t]\n[ls({"path":"p"})]',
+        "c": "[Tool result for ls @ ????-??-?? ??:??]: out",
+        "d": "[Custom (note) @ 2026-05-02 10:00]: n",
+        "e": "[Branch summary @ ????-??-?? ??:??]: s",
+    }
+    recall = {r.entry_id: r.line for r in serialize.rendered(log, recall=True).collect()}
+    assert recall["c"] == "[Tool result: ls @ 2026-05-02 10:00]: out\n[non-text content omitted]" and recall["e"].startswith("[Branch summary @ Unknown time]")
+    one = serialize.addressed(log).first()
+    assert one.source_ids == ["a", "b", "c", "d", "e"] and one.text.startswith("[Source entry id: a]\n[User @")
+
+
+def test_observer_rules_and_checks(spark, tmp_path):
+    rows = [message("a", "user", "always use tabs"), message("b", "assistant", "The build is broken on main"), message("c", "user", "fine")]
+    logs = Sessions(spark, write(tmp_path, s=rows))
+    got = {r.content: (r.relevance, r.source_ids, r.status) for r in logs.observe().collect()}
+    assert got == {"always use tabs": ("medium", ["a"], "recorded"), "The build is broken on main": ("high", ["b"], "recorded")}
+
+    def odd(text, ids):
+        return [{"content": "x", "relevance": "low", "source_ids": ["c", "a", "zz"]}, {"content": "x", "relevance": "low", "source_ids": ["a"]}, {"content": "y", "relevance": "low", "source_ids": ["zz"]}, {"content": "z", "relevance": "odd", "source_ids": ["a"]}]
+
+    assert sorted((r.content, r.status, tuple(r.source_ids)) for r in logs.observe(odd).collect()) == [("x", "duplicate", ("a",)), ("x", "recorded", ("a", "c")), ("y", "rejected", ()), ("z", "rejected", ("a",))]
+
+
+def test_reflections_need_known_supports(spark):
+    from tracefold.operators import extraction
+
+    obs = spark.createDataFrame([("s", "a"), ("s", "b")], "session_id string, id string")
+    rows = spark.createDataFrame([("s", "one\n two", ["a", "a", "b"]), ("s", "bad", ["a", "zz"]), ("s", "", ["a"])], "session_id string, content string, support_ids array<string>")
+    got = {(r.content, r.status): r.support_ids for r in extraction.reflect(rows, obs).collect()}
+    assert got == {("one two", "recorded"): ["a", "b"], ("bad", "rejected"): None, ("", "rejected"): ["a"]}
+    pool = spark.createDataFrame([("s", "a", 0, 60, 1), ("s", "b", 0, 60, 2), ("s", "c", 3, 60, 3)], "session_id string, id string, rel int, tok long, pos long")
+    supports = spark.createDataFrame([("s", "r1", "b"), ("s", "r2", "b")], "session_id string, reflection string, id string")
+    assert [r.id for r in extraction.drop(pool, supports, 100).collect()] == ["b"]
+
+
+def test_host_cut(spark):
+    rows = spark.createDataFrame([(s, p, r) for s in "abcde" for p, r in enumerate(["user", "assistant", "user", "assistant"])], "session_id string, pos long, role string")
+    asked = spark.createDataFrame([("a", 1), ("b", 0), ("c", 9), ("d", None)], "session_id string, asked long")
+    got = {r.session_id: (r.cut, r.reason) for r in windows.host_cut(rows, asked).collect()}
+    assert got == {"a": (1, "cut"), "b": (None, "too_few_live_messages"), "c": (2, "cut"), "d": (2, "cut"), "e": (2, "cut")}
+
+
+def test_kept_stats_and_cursors(spark):
+    rows = spark.createDataFrame([("s", p, "x" * 10) for p in range(5)], "session_id string, pos long, text string")
+    cuts = spark.createDataFrame([("s", 3)], "session_id string, cut long")
+    assert tuple(windows.kept_stats(rows, cuts).first()) == ("s", 3, 2, 5)
+    entries = spark.createDataFrame([("s", "a", 4)], "session_id string, entry_id string, pos long")
+    cursors = spark.createDataFrame([("s", "observer", "a", "done"), ("s", "reflector", "gone", "done"), ("s", "dropper", "gone", "done")], "session_id string, stage string, entry_id string, state string")
+    coverage = spark.createDataFrame([("s", "reflector", 2)], "session_id string, stage string, covered long")
+    got = {r.stage: (r.at, r.state) for r in windows.valid_cursors(cursors, entries, coverage).collect()}
+    assert got == {"observer": (4, "done"), "reflector": (2, "initial")}

@@ -74,6 +74,18 @@ RECALL_NOTE = (
     "Use `recall` to search the session history. Do not redo work already completed."
 )
 
+#: What closes a text of memories: with memories in it, and without (fixed values).
+MEMORY_NOTE = """----
+Bracketed ids in reflections and observations connect to their source session entries. These are condensed memories from earlier in this session.
+When entries conflict, the most recent observation reflects the latest known state.
+Use `recall` with an id to retrieve original context, or `#N:path` drill-down to explore file content from referenced entries.
+When exact source context is needed for precision or traceability, use the `recall` tool with the relevant observation or reflection id. This is especially useful when a reflection materially affects a decision or is too compressed to continue confidently.
+----"""
+RECALL_HINT = """----
+Use `recall` with an id to retrieve original context, or `#N:path` drill-down to explore file content from referenced entries.
+When entries conflict, the most recent entry reflects the latest known state.
+----"""
+
 #: Source entries of a log, and the custom types of memory events (fixed values).
 SOURCE_TYPES = ("message", "custom_message", "branch_summary")
 OBSERVED, REFLECTED, DROPPED = "om.observations.recorded", "om.reflections.recorded", "om.observations.dropped"

@@ -282,6 +282,7 @@ def merge(before: dict, fresh: dict) -> dict:
 def strip_notes(summary: str) -> str:
     """An earlier summary without its closing note and without memories, which are rendered anew."""
     s = summary.replace(text.wrap_lines(fixed.RECALL_NOTE), "").replace(fixed.RECALL_NOTE, "")
+    s = s.replace(fixed.RECALL_HINT, "")
     cut = [m.start() for m in (re.search(r"(?m)^## Reflections", s), re.search(r"(?m)^## Observations", s)) if m]
     s = s[: min(cut)] if cut else s
     return re.sub(r"(\s*\n---\s*)+$", "", s.rstrip()).rstrip()
@@ -334,4 +335,10 @@ def memory_text(observations: DataFrame, reflections: DataFrame) -> DataFrame:
     listed = lambda df, c, title: df.groupBy("session_id").agg(F.concat(F.lit(f"## {title}\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "idx", c.alias("line")))), lambda s: s["line"]), "\n")).alias(title))
     r = listed(reflections, F.concat(F.lit("["), "id", F.lit("] "), "content"), "Reflections")
     o = listed(observations, line, "Observations")
-    return r.join(o, "session_id", "full_outer").select("session_id", F.concat_ws("\n\n", "Reflections", "Observations").alias("memory"))
+    return r.join(o, "session_id", "full_outer").select("session_id", F.concat_ws("\n\n", "Reflections", "Observations", F.lit(fixed.MEMORY_NOTE)).alias("memory"))
+
+
+def with_memory(summaries: DataFrame, memory: DataFrame) -> DataFrame:
+    """Summaries with their session's memories below, or with the hint alone where there are none."""
+    joined = summaries.join(memory, "session_id", "left")
+    return joined.withColumn("summary", F.concat_ws("\n\n", F.nullif("summary", F.lit("")), F.coalesce("memory", F.lit(fixed.RECALL_HINT)))).drop("memory")

@@ -41,6 +41,44 @@ def own_cut(messages: DataFrame) -> DataFrame:
     return sums.select("session_id", "live", F.when(reason == "cut", F.col("_user")).alias("cut"), reason.alias("reason"))
 
 
+def host_cut(messages: DataFrame, asked: DataFrame) -> DataFrame:
+    """own_cut where a host asks to keep everything from an entry on: (session_id, live, cut, reason).
+
+    messages: live ones (session_id, pos, role); asked: (session_id, asked), the asked entry's position in the log,
+    null if it isn't there. The cut is the first live message from that position on. If that is the very first one,
+    nothing is compacted as long as a later user message could be kept; in all other cases own_cut decides.
+    """
+    own = Window.partitionBy("session_id").orderBy("pos")
+    rows = messages.withColumn("_i", (F.row_number().over(own) - 1).cast("long")).join(asked, "session_id", "left")
+    last = F.max(F.when(F.col("role") == "user", F.col("_i")))
+    sums = rows.groupBy("session_id").agg(F.min(F.when(F.col("pos") >= F.col("asked"), F.col("_i"))).alias("_at"), F.coalesce(last, F.lit(0)).alias("_user"))
+    joined = own_cut(messages).join(sums, "session_id")
+    stay = (F.col("_at") == 0) & (F.col("_user") > 0)
+    reason = F.when(F.col("_at") > 0, "cut").when(stay, "too_few_live_messages").otherwise(F.col("reason"))
+    cut = F.when(F.col("_at") > 0, F.col("_at")).when(stay, F.lit(None)).otherwise(F.col("cut"))
+    return joined.select("session_id", "live", cut.alias("cut"), reason.alias("reason"))
+
+
+def kept_stats(messages: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(session_id, summarized, kept, kept_tokens): messages (session_id, pos, text) before and from each session's cut on."""
+    own = Window.partitionBy("session_id").orderBy("pos")
+    rows = messages.withColumn("_i", F.row_number().over(own) - 1).join(cuts.select("session_id", F.col("cut").alias("_cut")), "session_id")
+    kept = F.coalesce(F.col("_i") >= F.col("_cut"), F.lit(False))
+    chars = F.sum(F.when(kept, F.char_length("text")).otherwise(0))
+    return rows.groupBy("session_id").agg(F.count_if(~kept).alias("summarized"), F.count_if(kept).alias("kept"), F.round(chars / 4).cast("long").alias("kept_tokens"))
+
+
+def valid_cursors(cursors: DataFrame, entries: DataFrame, coverage: DataFrame) -> DataFrame:
+    """(session_id, stage, at, state): cursors (session_id, stage, entry_id, state) whose entry is in the log.
+
+    One whose entry is gone falls back to the stage's furthest coverage (session_id, stage, covered), or goes.
+    """
+    at = entries.groupBy("session_id", "entry_id").agg(F.max("pos").alias("_pos"))
+    rows = cursors.join(at, ["session_id", "entry_id"], "left").join(coverage, ["session_id", "stage"], "left")
+    found = rows.select("session_id", "stage", F.coalesce("_pos", "covered").alias("at"), F.when(F.col("_pos").isNotNull(), F.col("state")).otherwise("initial").alias("state"))
+    return found.filter("at is not null")
+
+
 def runs(rows: DataFrame, header: str, order: list[str]) -> DataFrame:
     """``rows`` with ``run``: 0 for the session's first run of equal headers, 1 for the next, and so on."""
     own = Window.partitionBy("session_id").orderBy(*order)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import fixed, text
-from tracefold.operators import blocks, dropping, ledger, provenance, search, summary, windows
+from tracefold.operators import blocks, dropping, extraction, ledger, provenance, search, serialize, summary, windows
 from tracefold.sources import config as settings
 from tracefold.sources import session_log
 from tracefold.streaming import due
@@ -157,6 +157,17 @@ class Sessions:
         sources = session_log.entry_tokens(self.entries).filter("is_source")
         return due.due(sources, {"observed": self.observations, "reflected": self.reflections, "dropped": self.drops}, self.active(), self.config)
 
+    def source_text(self, recall: bool = True) -> DataFrame:
+        """(session_id, pos, entry_id, line): source entries as recall shows them."""
+        return serialize.rendered(self.entries, recall)
+
+    def observe(self, extract: extraction.Extractor = extraction.by_rules) -> DataFrame:
+        """What an extractor finds in the source entries since the last covered one, as far as a chunk holds."""
+        after = ledger.latest_coverage(self.observations).select("session_id", F.col("covered").alias("at"))
+        fresh = session_log.entry_tokens(self.entries).filter("is_source").join(after, "session_id", "left").filter(F.col("pos") > F.coalesce("at", F.lit(-1)))
+        chunk = ledger.cap_newest(fresh, self.config["observerChunkMaxTokens"])
+        return extraction.observe(serialize.addressed(self.entries, chunk), extract, self.observations)
+
     # -------------------------------------------------------------------------------------------- compaction
 
     def live(self) -> DataFrame:
@@ -181,7 +192,8 @@ class Sessions:
         before = live.join(cuts, "session_id").filter((F.col("reason") == "compact_all") | (F.col("_i") < F.col("cut")))
         previous = session_log.compactions(self.entries).filter("summary is not null").groupBy("session_id").agg(F.max_by("summary", "pos").alias("summary"))
         made = summary.compile_sessions(summary.prepared(blocks.normalize(before)), previous)
-        return cuts.select("session_id", "first_kept_entry_id").join(made, "session_id")
+        found = cuts.select("session_id", "first_kept_entry_id").join(made, "session_id")
+        return summary.with_memory(found, self.memory()) if self.config["memory"] else found
 
     def outcome(self, trigger: str) -> str:
         return settings.may_compact(self.config, trigger)
