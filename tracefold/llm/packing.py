@@ -25,11 +25,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.llm.common import Scratch, blocks, texts, thrifty
-from tracefold.llm.split import WordTable, assemble
+from tracefold.llm.split import WORDS, WordTable, assemble
 
 CAPACITY = 2048
 END = 0
-BLOCK = 2 << 20
+BLOCK = 4 << 20
+#: What a worker keeps that goes on to other work.
+FEW_WORDS = 250_000
 TOGETHER = 200
 _SPACED = regex.compile(r"(?s).+?\s|[^\S ]").match
 
@@ -139,14 +141,16 @@ def best_fit_plan(histogram: dict[int, int], capacity: int = CAPACITY) -> np.nda
 def pieces(docs: DataFrame, tokenizer: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, forget: bool = False) -> DataFrame:
     """Each document's ids and the end token, cut into pieces of at most ``capacity``; only a first piece is shorter.
 
-    task and place number the pieces of one length that a task has written. ``forget``: after each task a worker gives
-    the memory of its known words back, for a session in which it goes on to other work.
+    task and place number the pieces of one length that a task has written. ``forget``: a worker keeps fewer words, and
+    gives their memory back after each task, for a session in which it goes on to other work.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place", *["ids"] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, task, seen = word_ids(tokenizer, pattern), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for batch in blocks(batches, "text", BLOCK):
+        words = word_ids(tokenizer, pattern)
+        words.most = FEW_WORDS if forget else WORDS
+        task, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for batch in blocks(batches, "text", BLOCK // 2 if forget else BLOCK):
             ids, stops = words.encode(texts(batch, "text"))
             rows, start = [], 0
             for doc, stop in zip(batch.column(0).to_pylist(), stops.tolist(), strict=True):

@@ -13,7 +13,7 @@ import regex
 #: A text is cut into parts of about so many characters, always where no match can go on.
 PART = 1 << 20
 #: A worker keeps the ids of about so many distinct matches.
-WORDS = 350_000
+WORDS = 800_000
 #: Before a single space between two other characters: a match has a space only at its start, or is white space alone.
 _CUT = regex.compile(r"(?<=\S)(?= \S)")
 
@@ -55,7 +55,7 @@ class WordTable:
     """Ids of whole texts from the ids of their distinct matches, each asked for once while the table keeps it."""
 
     def __init__(self, pattern: str):
-        self.find = matcher(pattern)
+        self.find, self.most = matcher(pattern), WORDS
         self.clear()
 
     def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ class WordTable:
 
     def encode(self, documents: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all documents one after the other, and where each document ends."""
-        if len(self.place) > WORDS:
+        if len(self.place) > self.most:
             self.clear()
         known, found, ends = len(self.place), [np.zeros(0, np.int32)], []
         for text in documents:
