@@ -156,16 +156,82 @@ def near_truth(rows, part=85, whole=100):
     return {i: len(s) for i, s in sets.items()}, components(sets, links)
 
 
-@pytest.mark.parametrize("broadcast, tile", [(500_000, 64), (0, 7)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, broadcast, tile):
+@pytest.mark.parametrize("broadcast, tile, bundle", [(500_000, 64, 4_000), (0, 7, 30)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, broadcast, tile, bundle):
     monkeypatch.setattr(near_dedup, "BROADCAST_IDS", broadcast)
     monkeypatch.setattr(near_dedup, "TILE", tile)
+    monkeypatch.setattr(near_dedup, "BUNDLE", bundle)
     rows = near_rows()
     sizes, label = near_truth(rows)
     got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, DOCS).repartition(6)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (sizes[i], label[i], label[i] == i) for i in sizes}
 
 
+def test_near_duplicates_in_one_band(spark, monkeypatch):
+    """Chains and stars of near copies that share bands, and a template whose fillings are no links."""
+    monkeypatch.setattr(near_dedup, "TILE", 5)
+    random_ = random.Random(12)
+    words = ["w%d" % i for i in range(5000)]
+    base, rows = [random_.choice(words) for _ in range(300)], []
+    own = base
+    for _ in range(60):  # each is near the one before, the ends are far apart
+        own = list(own)
+        own[random_.randrange(300)] = random_.choice(words)
+        rows.append(own)
+    rows += [[random_.choice(words) if 40 * (k % 6) < i < 40 * (k % 6) + 12 else w for i, w in enumerate(base)] for k in range(60)]
+    rows += [base[:180] + [random_.choice(words) for _ in range(60)] for _ in range(50)]
+    random_.shuffle(rows)
+    rows = [(i, " ".join(t)) for i, t in enumerate(rows)]
+    _, label = near_truth(rows)
+    assert 40 < len(set(label.values())) < 110
+    got = near_dedup.near_duplicates(spark, spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.component_id for r in got} == label
+
+
+def row_components(rows, similarity=(85, 100)):
+    """(doc_id, text) of each row with its component's smallest id, rows being documents whatever their ids."""
+    _, label = near_truth([(k, t) for k, (_, t) in enumerate(rows)], *similarity)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least.setdefault(label[k], []).extend([] if i is None else [i])
+    return [(i, t, min(least[label[k]], default=None)) for k, (i, t) in enumerate(rows)], label
+
+
+def odd_rows():
+    """Repeated ids with other texts, missing ids, and rows that are alike in all."""
+    long = [" ".join("%s%d" % (c, k) for k in range(100)) for c in "abcdefg"]
+    near = [t.replace("50 ", "x ") for t in long]
+    rows = [(1, long[0]), (5, long[1]), (5, near[0]), (7, long[2]), (None, near[2]), (9, near[2] + " y"), (None, long[3]), (None, near[3])]
+    rows += [(3, long[4]), (3, long[4]), (3, near[4]), (None, long[5]), (None, long[5]), (8, None), (8, ""), (None, None), (2, long[6]), (None, long[6]), (11, near[1])]
+    return rows
+
+
+def test_near_duplicates_with_repeated_and_missing_ids(spark):
+    rows = odd_rows()
+    want, _ = row_components(rows)
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, node string, h int")
+    got = near_dedup.near_duplicates(spark, df).collect()
+    key = lambda r: repr(r)
+    sizes = [(len(shingle_set(t or "")), i, c) for i, t, c in want]
+    assert sorted(((r.n_shingles, r.doc_id, r.component_id) for r in got), key=key) == sorted(sizes, key=key)
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def test_dropping_near_duplicates_keeps_one_row_of_each_group(spark):
+    rows = odd_rows()
+    _, label = row_components(rows)
+    df = spark.createDataFrame([(i, t, "x", 3) for i, t in rows], "doc_id long, text string, label string, h int")
+    got = near_dedup.drop_near_duplicates(spark, df)
+    assert got.columns == df.columns
+    groups = {k: label[k] for k, (_, t) in enumerate(rows) if t}
+    kept = [(r.doc_id, r.text) for r in got.collect()]
+    assert len(kept) == len(set(groups.values())) + sum(not t for _, t in rows)
+    for g in set(groups.values()):
+        own = [rows[k] for k in groups if groups[k] == g]
+        least = min(own, key=lambda r: (r[0] is None, r[0] or 0))[0]
+        assert sum(r in own for r in kept) == 1 and [i for i, t in kept if (i, t) in own] == [least]
+
+
 def test_near_duplicates_of_the_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     sizes, label = near_truth(rows)
@@ -175,6 +241,7 @@ def test_near_duplicates_of_the_table(spark):
 
 def test_near_duplicates_of_nothing(spark):
     assert near_dedup.near_duplicates(spark, spark.createDataFrame([], DOCS)).count() == 0
+    assert near_dedup.drop_near_duplicates(spark, spark.createDataFrame([], DOCS)).count() == 0
     assert [r.component_id for r in near_dedup.near_duplicates(spark, spark.createDataFrame([(4, None)], DOCS)).collect()] == [4]
 
 

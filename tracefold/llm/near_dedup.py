@@ -1,18 +1,26 @@
 """Near-duplicates by HyperMinHash.
 
 A document is the set of its word shingles, and its sketch has a register for each of many buckets: the number of
-leading zeros of the least hash in the bucket, and the bits that follow. Bands of registers group documents that may
-be alike. What the bands connect is a family; a family's documents are dealt to blocks of bounded size, and each pair
-of blocks is one task's tile. A tile estimates the Jaccard similarity of its pairs from the sketches, less the share
-of registers that agree by chance, counts the intersections of full sets where the estimate comes near the
-threshold, and gives no more links than connect what is connected. Equal sets take part once.
+leading zeros of the least hash in the bucket, and the bits that follow. Bands of registers are keys under which
+documents meet. Equal sets take part once, as one node, whose number says nothing about document ids.
 
-So no group is ever gathered in one task or paired row by row, and every pair that shares a band is compared.
-The chance that a pair at the threshold shares none is (1 - 0.85^6)^24, about 1 in 100,000.
+Pairs are confirmed in two steps. First each node is compared with one other: the least node of most of its bands. What
+these links connect is contracted. Then, in each band where nodes of several components meet, those outside the
+component of the band's least node are compared with all others, in tiles of two blocks of bounded size: a pair counts
+in the first band that it shares, and only if its nodes are not connected yet. In both steps sizes and sketches are
+compared first (the Jaccard similarity estimated from equal registers, less those that agree by chance), full sets move
+only for what comes near the threshold, and a tile gives no more links than connect what is connected.
+
+So no group is gathered in one task or paired row by row, a group of near copies costs about one comparison for each of
+its members, and every pair that shares a band is either connected already or compared. The chance that a pair at the
+threshold shares none is (1 - 0.85^6)^24, about 1 in 100,000.
 
 Edge cases: a null, empty or wordless text links with nothing and is its own component; fewer than five words are one
-shingle; equal texts are in one component; a row without doc_id still links others but has no place as the smallest;
-an empty table gives an empty result.
+shingle; equal texts are in one component. Rows are documents, and several rows may have one doc_id: each has the
+component of its own text. A row without doc_id links others like any row, and its component_id is that of its
+component, null where no row there has an id; kept compares both ids, null equal to null. Other columns are not read by
+``near_duplicates`` and pass through ``drop_near_duplicates``, where columns may have any names. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -23,10 +31,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracefold.llm.common import Scratch, blocks, texts, thrifty
+from tracefold.llm.common import Scratch, blocks, small_batches, texts, thrifty
 from tracefold.llm.components import connected
 from tracefold.llm.shingles import forget, mix, shingle_set
 
@@ -36,9 +44,12 @@ SEEDS, BUCKETS, MANTISSA = 9, 16, 10
 ROWS = 6
 BANDS = SEEDS * BUCKETS // ROWS
 BLOCK = 2 << 20
-#: Documents of a family that are compared with as many others in one tile, on average.
+#: Nodes in a block of a tile, on average, and rows and shingles in a bundle of tiles.
 TILE = 64
+BUNDLE, SHINGLES = 4_000, 1_000_000
 COLUMNS = 4096
+#: Stands for a missing id where rows are told apart.
+NO_ID = -(1 << 63)
 #: About the share of registers that agree by chance: of two least hashes with the same leading zeros, one in 2^MANTISSA.
 CHANCE = 1 / 3 / (1 << MANTISSA)
 #: Ids up to this number are broadcast to the scan of the texts; beyond it both sides are shuffled, with the same result.
@@ -94,7 +105,7 @@ def estimate(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, s1, s2, sketch): size and 128-bit hash of the set, and the sketch; null hashes for empty sets."""
+    """(doc_id, h, n, s1, s2, sketch): hash of the text, size and 128-bit hash of the set, sketch; nulls for empty sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", BLOCK):
@@ -103,109 +114,279 @@ def signatures(docs: DataFrame) -> DataFrame:
             full = [s for s in sets if len(s)]
             made = iter(sketches(full)) if full else iter(())
             names = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(names[:, 0], mask=~has), pa.array(names[:, 1], mask=~has), pa.array([next(made).tobytes() if x else None for x in has], pa.binary())],
-                names=["doc_id", "n", "s1", "s2", "sketch"],
-            )
+            columns = [
+                b.column(0),
+                b.column(1),
+                pa.array([len(s) for s in sets], pa.int64()),
+                pa.array(names[:, 0], mask=~has),
+                pa.array(names[:, 1], mask=~has),
+                pa.array([next(made).tobytes() if x else None for x in has], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "h", "n", "s1", "s2", "sketch"])
         forget()  # the worker goes on to other work
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(thrifty(run), "doc_id long, n long, s1 long, s2 long, sketch binary")
+    return docs.select(*row_key("doc_id", "h"), "text").mapInArrow(thrifty(run), "doc_id long, h long, n long, s1 long, s2 long, sketch binary")
+
+
+def row_key(doc_id: str, h: str) -> list[Column]:
+    """The id and a hash of the text: what tells rows apart, but for those that are alike in both."""
+    return [F.col("doc_id").cast("long").alias(doc_id), F.xxhash64(F.coalesce("text", F.lit(""))).alias(h)]
+
+
+def _registers_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            registers = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint16).reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(band_keys(registers).ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "node"])
+            keys = band_keys(_registers_of(b.column(1)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "node"])
 
 
-def tile_links(similarity: tuple[int, int]):
-    """The links of one tile: (i, j) are its blocks, whose documents are compared with each other."""
-    part, whole = similarity
-    bound = part / whole
-    margin = 5 * np.sqrt(bound * (1 - bound) / (SEEDS * BUCKETS))
+class Threshold:
+    """Which sizes, estimates and full sets count as near for a similarity of part / whole."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        i, j = rows["i"].iloc[0], rows["j"].iloc[0]
-        rows = rows.sort_values("node", kind="stable")
-        sides = [np.flatnonzero(rows["block"].to_numpy() == k) for k in (i, j)]
-        none = pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-        if not len(sides[0]) or not len(sides[1]):
-            return none
-        nodes, registers = rows["node"].to_numpy(), np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
-        near = estimate(registers[sides[0]], registers[sides[1]]) >= bound - margin
+    def __init__(self, similarity: tuple[int, int]):
+        self.part, self.whole = similarity
+        bound = self.part / self.whole
+        self.estimate = bound - 5 * np.sqrt(bound * (1 - bound) / (SEEDS * BUCKETS))
+
+    def sizes(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return self.whole * np.minimum(n, m) >= self.part * np.maximum(n, m)
+
+    def sets(self, common: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return self.whole * common >= self.part * (n + m - common)
+
+
+def near_pairs(limit: Threshold):
+    """Of pairs (a, b, n, m, x, y) with sizes and sketches, those that may be links, as (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                same = (_registers_of(b.column(4)) == _registers_of(b.column(5))).mean(1)
+                near = (same - CHANCE) / (1 - CHANCE) >= limit.estimate
+                near &= limit.sizes(b.column(2).to_numpy(), b.column(3).to_numpy())
+                yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(near)) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def linked_pairs(limit: Threshold):
+    """Of pairs (a, b, x, y) with full sets, the links (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column(2), b.column(3), strict=True):
+                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
+                common = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                keep.append(bool(limit.sets(common, len(x), len(y))))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], names=["a", "b"])
+
+    return run
+
+
+def _tiles(rows: pd.DataFrame, limit: Threshold) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Each tile (key, i, j) of a bundle that has pairs to confirm: its rows, and the places of both in them."""
+    rows = rows.sort_values(["key", "i", "j", "node"], kind="stable").reset_index(drop=True)
+    where = rows[["key", "i", "j"]].to_numpy()
+    edges = np.flatnonzero((where[1:] != where[:-1]).any(1)) + 1
+    registers = np.frombuffer(b"".join(rows["sketch"]), np.uint16).reshape(len(rows), -1)
+    block, label, size = (rows[c].to_numpy() for c in ("block", "label", "n"))
+    for lo, hi in zip([0, *edges.tolist()], [*edges.tolist(), len(rows)], strict=True):
+        key, i, j = where[lo].tolist()
+        sides = [lo + np.flatnonzero(block[lo:hi] == k) for k in (i, j)]
+        if not len(sides[0]) or not len(sides[1]) or hi - lo < 2:
+            continue
+        p, q = sides
+        open_ = (label[p][:, None] != label[q]) & limit.sizes(size[p][:, None], size[q])
         if i == j:
-            near &= np.triu(np.ones(near.shape, bool), 1)
-        if not near.any():
-            return none
-        sets = [np.frombuffer(s, np.uint64) for s in rows["shingles"]]
-        size = np.array([*map(len, sets)], np.int64)
-        _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = count > 1
-        place = np.cumsum(shared) - 1
-        keep = shared[code]
-        owner, column = np.repeat(np.arange(len(sets)), size)[keep], place[code[keep]]
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        common = np.zeros(near.shape)
-        for at in range(0, int(shared.sum()), COLUMNS):
-            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-            grid = np.zeros((len(sets), COLUMNS), np.float32)
-            grid[owner[lo:hi], column[lo:hi] - at] = 1
-            common += grid[sides[0]] @ grid[sides[1]].T
-        union = size[sides[0]][:, None] + size[sides[1]] - common
-        linked = near & (whole * common >= part * union)
-        parent = {}
+            open_ &= np.triu(np.ones(open_.shape, bool), 1)
+        if not open_.any():
+            continue
+        open_ &= estimate(registers[p], registers[q]) >= limit.estimate
+        x, y = np.nonzero(open_)
+        x, y = p[x], q[y]
+        if len(x):
+            # a pair that shares an earlier band has been met there
+            keys = band_keys(registers[lo:hi])
+            band = int(np.flatnonzero(keys[x[0] - lo] == key)[0])
+            first = ~(keys[x - lo, :band] == keys[y - lo, :band]).any(1)
+            x, y = x[first], y[first]
+        if len(x):
+            yield rows.iloc[lo:hi], x - lo, y - lo
+
+
+def tile_survivors(limit: Threshold):
+    """The rows of a bundle's tiles whose full sets are needed."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        found = [own.iloc[np.union1d(x, y)] for own, x, y in _tiles(rows, limit)]
+        return pd.concat(found)[_ROW] if found else rows.iloc[:0][_ROW]
+
+    return run
+
+
+_ROW = ["key", "i", "j", "block", "node", "label", "n", "sketch"]
+_ROWS = "key long, i int, j int, block int, node long, label long, n long, sketch binary"
+
+
+def intersections(sets: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of all pairs of sets, from matrices of the shingles that stand in several."""
+    _, code, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1
+    keep = shared[code]
+    owner = np.repeat(np.arange(len(sets)), [*map(len, sets)])[keep]
+    column = (np.cumsum(shared) - 1)[code[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    common = np.zeros((len(sets), len(sets)))
+    for at in range(0, int(shared.sum()), COLUMNS):
+        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+        grid = np.zeros((len(sets), COLUMNS), np.float32)
+        grid[owner[lo:hi], column[lo:hi] - at] = 1
+        common += grid @ grid.T
+    return common
+
+
+def tile_links(limit: Threshold):
+    """The links of a bundle's tiles, confirmed on full sets, no more than connect what they connect."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        parent, found = {}, []
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
                 parent[x] = x = parent[parent[x]]
             return x
 
-        found = []
-        for x, y in np.argwhere(linked):
-            a, b = root(int(nodes[sides[0][x]])), root(int(nodes[sides[1][y]]))
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                found.append((nodes[sides[0][x]], nodes[sides[1][y]]))
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else none
+        for own, x, y in _tiles(rows, limit):
+            used, place = np.unique(np.concatenate([x, y]), return_inverse=True)
+            x, y = place[: len(x)], place[len(x) :]
+            sets = [np.frombuffer(own["shingles"].iloc[k], np.uint64) for k in used]
+            size = np.array([*map(len, sets)], np.int64)
+            near = limit.sets(intersections(sets)[x, y], size[x], size[y])
+            label, nodes = own["label"].to_numpy()[used].tolist(), own["node"].to_numpy()[used].tolist()
+            for p, q in zip(x[near].tolist(), y[near].tolist(), strict=True):
+                a, b = root(label[p]), root(label[q])
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+                    found.append((nodes[p], nodes[q]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return run
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks(batches, "text", BLOCK):
-        columns = dict(zip(b.schema.names, b.columns, strict=True))
         made = [shingle_set(t, WORDS).tobytes() for t in texts(b, "text")]
-        yield pa.RecordBatch.from_arrays([columns["node"], columns["family"], columns["blocks"], pa.array(made, pa.binary())], names=["node", "family", "blocks", "shingles"])
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
     forget()
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+def full_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) for each of ``nodes`` (node, doc, h), read from a row that has the node's set."""
+    source = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text")
+    wanted = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+    return source.join(wanted, ["doc", "h"]).select("node", "text").mapInArrow(thrifty(_shingles), "node long, shingles binary").dropDuplicates(["node"])
+
+
+def bundled(rows: DataFrame, total: int, each: int) -> DataFrame:
+    """Tiles dealt to bundles of about ``each`` units of ``total``."""
+    return rows.withColumn("bundle", F.pmod(F.xxhash64("key", "i", "j"), F.lit(max(1, -(-total // each)))))
+
+
+def links(nodes: DataFrame, docs: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
+    """(node, label): nodes that are linked with others, and the least node that each can reach."""
+    limit = Threshold(similarity)
+    bands = scratch.table(nodes.select("node", "sketch").mapInArrow(thrifty(_bands), "key long, node long").select("key", "node"), "bands")
+    heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
+    met = scratch.table(bands.join(heads, "key"), "met")
+    scratch.drop("bands")
+
+    # Each node with the head of most of its bands.
+    pairs = met.filter("head <> node").groupBy(F.col("node").alias("b")).agg(F.mode("head", True).alias("a"))
+    side = lambda node, n, x: nodes.select(F.col("node").alias(node), F.col("n").alias(n), F.col("sketch").alias(x))
+    tried = pairs.join(side("a", "n", "x"), "a").join(side("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    tried = scratch.table(tried.mapInArrow(near_pairs(limit), "a long, b long"), "tried")
+    places = nodes.select("node", "doc", "h")
+    wanted = tried.select(F.col("a").alias("node")).union(tried.select("b")).distinct()
+    full = scratch.table(full_sets(docs, scratch.table(places.join(wanted, "node"), "wanted")), "full")
+    both = tried.join(full.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    stars = scratch.table(both.select("a", "b", "x", "y").mapInArrow(thrifty(linked_pairs(limit)), "a long, b long"), "stars")
+    component = connected(stars, scratch, "stars")
+
+    # The bands where nodes outside the head's component are left.
+    label = component.select("node", F.col("label").alias("_label"))
+    of_head = component.select(F.col("node").alias("head"), F.col("label").alias("_major"))
+    mixed = met.join(of_head, "head", "left").withColumn("major", F.coalesce("_major", "head")).join(label, "node", "left").withColumn("label", F.coalesce("_label", "node"))
+    mixed = scratch.table(mixed.select("key", "node", "label", (F.col("label") != F.col("major")).alias("minor")), "mixed")
+    counts = mixed.groupBy("key").agg(F.count("*").alias("_all"), F.count_if("minor").alias("_minor")).filter("_minor > 0")
+    parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
+    small = F.col("_all") <= TILE
+    counts = counts.withColumn("_major", F.col("_all") - F.col("_minor")).select("key", F.when(small, 0).otherwise(parts("_major")).alias("p"), F.when(small, 1).otherwise(parts("_minor")).alias("q"))
+    dealt = mixed.join(counts, "key")
+    block = F.when(F.col("p") == 0, 0).when(F.col("minor"), F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).otherwise(F.pmod(F.xxhash64("node"), F.col("p"))).cast("int")
+    others = F.sequence(F.when(F.col("minor") | (F.col("p") == 0), 0).otherwise(F.col("p")), F.col("p") + F.col("q") - 1)
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(others)).join(nodes.select("node", "n", "sketch"), "node")
+    dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
+    dealt = scratch.table(dealt.select(*_ROW), "dealt")
+    left = bundled(dealt, dealt.count(), BUNDLE).groupBy("bundle").applyInPandas(tile_survivors(limit), _ROWS)
+    left = scratch.table(left, "left")
+    total = left.agg(F.sum("n")).first()[0]
+    if not total:
+        return component
+    more = left.select("node").distinct().join(full.select("node"), "node", "left_anti")
+    more = scratch.table(full_sets(docs, scratch.table(places.join(more, "node"), "wanted-more")), "full-more")
+    left = left.join(full.unionByName(more), "node").select(*_ROW, "shingles")
+    found = scratch.table(bundled(left, total, SHINGLES).groupBy("bundle").applyInPandas(tile_links(limit), "a long, b long"), "tiles")
+    return connected(stars.unionByName(found), scratch, "components")
+
+
+def decided(spark: SparkSession, docs: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """(doc_id, h, n, label, component_id) for each row; label is null for rows without words."""
+    small_batches(spark)
     scratch = Scratch(spark, "near")
     signed = scratch.table(signatures(docs), "signatures")
-    sets = scratch.table(signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = signed.join(sets.select("s1", "s2", F.col("node").alias("_node")), ["s1", "s2"]).filter(F.col("doc_id") == F.col("_node")).select("doc_id", "sketch").dropDuplicates(["doc_id"])
-    bands = scratch.table(nodes.mapInArrow(thrifty(_bands), "key long, node long"), "bands")
-    heads = bands.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("last")).filter("a < last").select("key", "a")
-    family = connected(bands.join(heads, "key").filter("a <> node").select("a", F.col("node").alias("b")).distinct(), scratch, "families")
-    scratch.drop("bands")
-    sizes = family.groupBy("label").agg(F.count("*").alias("size"))
-    family = scratch.table(family.join(sizes, "label").select("node", F.col("label").alias("family"), F.ceil(F.col("size") / TILE).cast("int").alias("blocks")), "family")
-    few = family.count() <= BROADCAST_IDS
-    source = docs.select(F.col("doc_id").cast("long").alias("node"), "text")
-    full = source.join(F.broadcast(family) if few else family, "node")
-    made = full.mapInArrow(thrifty(_shingles), "node long, family long, blocks int, shingles binary")
-    sketch = signed.select(F.col("doc_id").alias("node"), "sketch")
-    sketch = sketch.join(F.broadcast(family.select("node")) if few else family.select("node"), "node")
-    rows = made.join(sketch, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    tiles = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "sketch", "shingles")
-    links = scratch.table(tiles.groupBy("family", "i", "j").applyInPandas(tile_links(similarity), "a long, b long"), "links")
-    component = connected(links, scratch, "components")
-    labelled = sets.join(component, "node", "left").select("s1", "s2", F.coalesce("label", "node").alias("_label"))
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "h")).alias("one")
+    nodes = signed.filter("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), one, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    # Numbers that are given once, as the table is written once.
+    nodes = scratch.table(nodes.select(F.monotonically_increasing_id().alias("node"), "s1", "s2", "least", "one.*", "n", "sketch"), "nodes")
+    component = links(nodes, docs, similarity, scratch)
+    owned = component.join(nodes.select("node", "least"), "node")
+    smallest = owned.groupBy("label").agg(F.min("least").alias("_least"))
+    owned = scratch.table(component.join(smallest, "label"), "owned")
+    labelled = nodes.select("node", "s1", "s2", "least").join(owned, "node", "left")
+    labelled = labelled.select("s1", "s2", F.coalesce("label", "node").alias("label"), F.when(F.col("label").isNull(), F.col("least")).otherwise(F.col("_least")).alias("_least"))
     found = signed.drop("sketch").join(labelled, ["s1", "s2"], "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_label", "doc_id").alias("component_id"), (F.coalesce("_label", "doc_id") == F.col("doc_id")).alias("kept"))
+    return found.select("doc_id", "h", "n", "label", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("_least")).alias("component_id"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for each row of (doc_id, text)."""
+    found = decided(spark, docs, similarity)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """One row of each component of ``docs`` stays: that with the smallest doc_id, null last; rows without words stay.
+
+    Rows are told apart by id and text, so a row isn't taken for another that has its id. Of rows alike in both, one stays.
+    """
+    scratch = Scratch(spark, "stay")
+    rows = scratch.table(decided(spark, docs, similarity).filter("label is not null").select("label", F.coalesce("doc_id", F.lit(NO_ID)).alias("_tf_id"), F.col("h").alias("_tf_h")), "rows")
+    order = F.struct((F.col("_tf_id") == NO_ID).alias("last"), "_tf_id", "_tf_h")
+    first = rows.groupBy("label").agg(F.min(order).alias("first")).select("label", "first._tf_id", "first._tf_h")
+    key = ["_tf_id", "_tf_h"]
+    gone = rows.select(*key).distinct().join(first.select(*key), key, "left_anti")
+    doc, h = row_key(*key)
+    keyed = docs.select("*", F.coalesce(doc, F.lit(NO_ID)).alias("_tf_id"), h).join(gone, key, "left_anti")
+    twice = scratch.table(rows.groupBy(*key).count().filter("count > 1").select(*key), "twice")
+    if twice.limit(1).count():
+        keyed = keyed.join(twice, key, "left_anti").unionByName(keyed.join(twice, key, "left_semi").dropDuplicates(key))
+    return keyed.select(*docs.columns)
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
