@@ -1,6 +1,7 @@
 """Line, near, suffix and embedding dedup against brute force."""
 
 import hashlib
+import math
 import random
 from collections import Counter, defaultdict
 
@@ -348,18 +349,50 @@ def vector_rows(n=400):
     return x
 
 
-@pytest.mark.parametrize("tile", [256, 3])
-def test_vectors_against_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, broadcast", [(256, 100_000), (3, 0)])
+def test_vectors_against_brute_force(spark, monkeypatch, tile, broadcast):
     monkeypatch.setattr(embedding_dedup, "TILE", tile)
+    monkeypatch.setattr(embedding_dedup, "BROADCAST_FILTERS", broadcast)
     x = vector_rows()
     got = {r.vec_id: r for r in embedding_dedup.near_vectors(spark, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).collect()}
     unit = x / np.linalg.norm(x, axis=1, keepdims=True)
     near = unit @ unit.T >= 0.95
     np.fill_diagonal(near, False)
-    found = sum(r.n_links for r in got.values())
-    assert near.sum() > 300 and found >= 0.98 * near.sum() and all(got[i].n_links <= near[i].sum() for i in got)
     truth = components(range(len(x)), np.argwhere(near).tolist())
-    assert np.mean([got[i].component_id == truth[i] for i in got]) > 0.98
+    assert near.sum() > 300 and {i: (r.n_links, r.component_id, r.kept) for i, r in got.items()} == {i: (near[i].sum(), truth[i], truth[i] == i) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("dimensions", [2, 3, 16, 64, 300])
+@pytest.mark.parametrize("vectors", [1_000, 3_000_000])
+def test_pairs_at_the_threshold_share_a_filter(dimensions, vectors):
+    random_ = np.random.default_rng(dimensions)
+    a, b = random_.standard_normal((2, 300, dimensions))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+    code = embedding_dedup.code_size(vectors)
+    x, y = embedding_dedup.passed(a, code), embedding_dedup.passed(b, code)
+    assert all(len(f) >= embedding_dedup.PASSED and (np.diff(f) > 0).all() and f.max() < code**2 for f in x)
+    assert np.mean([len(np.intersect1d(p, q)) > 0 for p, q in zip(x, y, strict=True)]) >= 0.97
+    assert np.mean([*map(len, x)]) < 3 * embedding_dedup.PASSED
+
+
+def test_vectors_with_repeated_and_missing_ids(spark):
+    random_ = np.random.default_rng(4)
+    base = random_.standard_normal((6, 20))
+    near = base + 0.02 * random_.standard_normal(base.shape)
+    rows = [(1, base[0]), (5, base[1]), (5, near[0]), (7, near[0] * 2 + 0.01), (None, near[2]), (9, base[2]), (12, near[2] + 0.01), (None, base[3]), (None, near[3]), (4, base[4]), (4, base[4]), (None, base[5]), (None, None)]
+    x = np.stack([np.zeros(20) if v is None else v for _, v in rows])
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = components(range(len(x)), np.argwhere(near).tolist())
+    least = {c: min((rows[k][0] for k in label if label[k] == c and rows[k][0] is not None), default=None) for c in label.values()}
+    want = [(i, int(near[k].sum()), i if v is None else least[label[k]]) for k, (i, v) in enumerate(rows)]
+    df = spark.createDataFrame([(i, None if v is None else v.tolist(), 5, "x") for i, v in rows], "vec_id long, embedding array<double>, node int, raw string")
+    got = embedding_dedup.near_vectors(spark, df).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == sorted(want, key=repr)
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got)
 
 
 def test_vector_edge_cases(spark):
