@@ -65,9 +65,38 @@ def test_encode_and_decode_operators(spark):
     assert byte_bpe.round_trip(spark.createDataFrame([], "doc_id long, text string"), PATH, public_tokenizers.PATTERN).count() == 0
 
 
-def test_word_ids_are_the_librarys(reference):
-    ids, stops = packing.word_ids(JSON, public_tokenizers.PATTERN).encode(ODD)
-    assert [ids[a:b].tolist() for a, b in zip([0, *stops], stops, strict=False)] == [reference.encode_ordinary(t) for t in ODD]
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(JSON)
+
+
+def library_ids(library, texts):
+    return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def word_lists(texts, **options):
+    ids, stops = packing.word_ids(JSON, public_tokenizers.PATTERN, **options).encode(texts)
+    return [ids[a:b].tolist() for a, b in zip([0, *stops], stops, strict=False)]
+
+
+def test_word_ids_are_the_librarys(library):
+    random_ = random.Random(6)
+    pieces = ["<|endoftext|>", "<|endoftext|>", "<|", "endoftext", "|>", " ", "  ", "\n", " x", "it's", "é", "\u3000", "\x1c", "12", "_", "日本"]
+    texts = ODD + ["".join(random_.choice(pieces) for _ in range(random_.randint(0, 25))) for _ in range(3000)]
+    assert word_lists(texts) == library_ids(library, texts)
+    assert word_lists(["a <|endoftext|>"])[0][-1] == 50256
+
+
+def test_special_strings_as_text(reference):
+    assert word_lists(ODD, as_text=True) == [reference.encode_ordinary(t) for t in ODD]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.text(max_size=12), st.just("<|endoftext|>")), max_size=6).map("".join), max_size=6))
+def test_any_words_are_the_librarys(library, texts):
+    assert word_lists(texts) == library_ids(library, texts)
 
 
 def plain_best_fit(histogram, capacity):
@@ -104,14 +133,14 @@ def test_plan_is_best_fit_decreasing(histogram):
     assert len(used) == plain_best_fit(histogram, 64)
 
 
-def test_packing_whole_tables(spark, reference):
+def test_packing_whole_tables(spark, library):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 9000), (-4, "a"), (-4, "a"), (None, "b")], "doc_id long, text string")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "word " * 9000), (-4, "a"), (-4, "a"), (None, "b"), (-5, "a <|endoftext|> b<|endoftext|>")], "doc_id long, text string")
     rows = docs.unionByName(extra)
     got = packing.pack(spark, rows, JSON, public_tokenizers.PATTERN).toPandas()
     texts = {r.doc_id: r.text or "" for r in rows.collect() if r.doc_id is not None}
     for doc, own in got[got["doc_id"].notna() & (got["doc_id"] != -4)].groupby("doc_id"):
-        ids = [*reference.encode_ordinary(texts[int(doc)]), 0]
+        ids = [*library_ids(library, [texts[int(doc)]])[0], 0]
         own = own.sort_values("piece")
         assert own["length"].sum() == len(ids) and own["length"].max() <= 2048 and (own["length"].iloc[1:] == 2048).all()
         assert own["start"].tolist() == [0, *own["length"].cumsum().tolist()[:-1]]

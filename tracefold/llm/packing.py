@@ -5,7 +5,8 @@ than a sequence has tokens: a segment tree over the remaining capacities gives t
 documents that would go there one by one go there at once. The plan has a few rows for each length; each document
 finds its place in it by its rank among the documents of its length, so that no task ever holds them all.
 
-Edge cases: a null or empty text is the end token alone; rows are packed one by one, repeated ones too, and a null
+Edge cases: a null or empty text is the end token alone; the string of a token that the tokenizer's file adds is that
+token, as the library has it by default; rows are packed one by one, repeated ones too, and a null
 doc_id stays null; an empty table gives an empty result; other columns are not read.
 """
 
@@ -37,26 +38,32 @@ _SPACED = regex.compile(r"(?s).+?\s|[^\S ]").match
 
 
 class WordIds(WordTable):
-    """Ids by the tokenizers library, asked for all new words of a block in a few texts."""
+    """Ids by the tokenizers library, asked for all new words of a block in a few texts.
 
-    def __init__(self, path: str, pattern: str):
+    The library finds the strings of its added tokens in a text, and matches what is between them; so does this.
+    ``as_text``: these strings are ordinary text, as the library has it with ``encode_special_tokens``.
+    """
+
+    def __init__(self, path: str, pattern: str, as_text: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = as_text
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        super().__init__(pattern)
+        added = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        super().__init__(pattern, frozenset() if as_text else frozenset(added))
 
     def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         # A line feed before each word is a match of its own, as a word has white space at most as its first
         # character, a space; so its id divides the words' ids.
-        simple = [w for w in words if not _SPACED(w)]
+        apart = lambda w: w in self.special or _SPACED(w)
+        simple = [w for w in words if not apart(w)]
         if len(simple) == len(words):
             plain, lone = np.ones(len(words), bool), []
         else:
-            plain = np.array([not _SPACED(w) for w in words])
-            lone = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if _SPACED(w)], add_special_tokens=False)]
+            plain = np.array([not apart(w) for w in words])
+            lone = [e.ids for e in self.tokenizer.encode_batch_fast([w for w in words if apart(w)], add_special_tokens=False)]
         joined = ["\n" + "\n".join(simple[at : at + TOGETHER]) for at in range(0, len(simple), TOGETHER)]
         found = [np.zeros(0, np.int64)]
         for at in range(0, len(joined), 50):  # what the library returns holds much more than ids
@@ -67,9 +74,9 @@ class WordIds(WordTable):
 
 
 @lru_cache(maxsize=1)
-def word_ids(path: str, pattern: str) -> WordIds:
+def word_ids(path: str, pattern: str, as_text: bool = False) -> WordIds:
     """One table for all tasks of a worker."""
-    return WordIds(path, pattern)
+    return WordIds(path, pattern, as_text)
 
 
 class CapacityTree:

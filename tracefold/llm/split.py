@@ -54,14 +54,22 @@ def assemble(first: np.ndarray, ids: np.ndarray, count: np.ndarray, other: np.nd
 class WordTable:
     """Ids of whole texts from the ids of their distinct matches, each asked for once while the table keeps it."""
 
-    def __init__(self, pattern: str):
-        self.find, self.most = matcher(pattern), WORDS
+    def __init__(self, pattern: str, special: frozenset[str] = frozenset()):
+        """``special``: strings that are words of their own wherever they stand; texts are matched between them."""
+        self.find, self.most, self.special = matcher(pattern), WORDS, special
         self.clear()
 
     def fresh(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words that the table has not got, one word after the other, and how many each has."""
         raise NotImplementedError
 
+    def sections(self, text: str) -> Iterator[str]:
+        """The text cut before and after each special string in it."""
+        return self.cut(text) if any(x in text for x in self.special) else iter((text,))
+
+    def cut(self, text: str) -> Iterator[str]:
+        return (x for x in re.split("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")", text) if x)
+
     def clear(self) -> None:
         self.place: dict[str, int] = defaultdict(lambda: len(self.place))
         self.ids, self.start, self.count = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -73,9 +81,11 @@ class WordTable:
         known, found, ends = len(self.place), [np.zeros(0, np.int32)], []
         for text in documents:
             n = 0
-            for part in parts(text):
-                found.append(np.array([*map(self.place.__getitem__, self.find(part))], np.int32))
-                n += len(found[-1])
+            for section in self.sections(text):
+                for part in [section] if section in self.special else parts(section):
+                    words = [part] if part in self.special else self.find(part)
+                    found.append(np.array([*map(self.place.__getitem__, words)], np.int32))
+                    n += len(found[-1])
             ends.append(n)
         words = np.concatenate(found)
         if len(self.place) > known:
