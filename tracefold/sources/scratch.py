@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,12 @@ _OWN: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a local folder.
+    A session on one machine may go without that setting and gets a local folder; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="tracefold-"))
         found = _OWN[0]
@@ -32,9 +35,10 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/tracefold/{name}-{uuid.uuid4().hex}"
         atexit.register(self.drop)
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+        """``by``: a column whose values have folders of their own, so that a filter on it reads only these."""
         path = f"{self.root}/{name}"
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
