@@ -81,28 +81,59 @@ def test_lines_against_brute_force(spark, line_rows):
     assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got} == plain_lines(line_rows)
 
 
-def test_lines_without_filters(spark, line_rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FILTER_BYTES", -1)
-    got = line_dedup.dedup_lines(spark, spark.createDataFrame(line_rows, DOCS)).collect()
-    assert {r.doc_id: r.text for r in got} == {k: v[0] for k, v in plain_lines(line_rows).items()}
-
-
-def test_lines_in_many_shards(spark, line_rows, monkeypatch):
-    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 2)
+@pytest.mark.parametrize("shard, part", [(2, 100), (1, 3), (10_000, 10_000)])
+def test_lines_in_shards_and_parts(spark, line_rows, monkeypatch, shard, part):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard)
+    monkeypatch.setattr(line_dedup, "PART_KEYS", part)
     got = line_dedup.dedup_lines(spark, spark.createDataFrame(line_rows, DOCS)).collect()
     assert {r.doc_id: r.n_dropped for r in got} == {k: v[2] for k, v in plain_lines(line_rows).items()}
 
 
-def test_deleting_documents_takes_decisions_back(spark, line_rows):
-    a, b = spark.createDataFrame(line_rows[:30], DOCS), spark.createDataFrame(line_rows[30:], DOCS)
-    state = line_dedup.insert_documents(line_dedup.postings(a), b)
-    whole = line_dedup.postings(a.unionByName(b))
-    as_set = lambda df: {tuple(r) for r in line_dedup.reference_counts(df).collect()}
-    assert as_set(state) == as_set(whole)
-    less = line_dedup.delete_documents(state, b.select("doc_id"))
-    assert as_set(less) == as_set(line_dedup.postings(a))
+def held(state):
+    """Counts, and the fingerprints of each filter by the pair of buckets that a key of theirs may be in."""
+    counts = {tuple(r) for r in state.counts.collect()}
+    marks = {}
+    for r in state.filters.collect():
+        f = line_dedup.CuckooFilter(r.buckets, bytes(r.data))
+        at, slot = np.nonzero(f.table)
+        mark = f.table[at, slot]
+        marks[r.shard] = sorted(zip(mark.tolist(), np.minimum(at, at ^ f._step(mark)).tolist(), strict=True))
+    return counts, {k: v for k, v in marks.items() if v}
+
+
+@pytest.mark.parametrize("shard", [4, 10_000])
+def test_deleting_documents_takes_decisions_back(spark, line_rows, monkeypatch, shard):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard)
+    a, b = spark.createDataFrame(line_rows[:40], DOCS), spark.createDataFrame(line_rows[40:], DOCS)
+    before = line_dedup.index_lines(spark, a)
+    grown = before.insert(b)
+    whole = line_dedup.index_lines(spark, a.unionByName(b))
+    assert held(grown)[0] == held(whole)[0] and held(grown) != held(before)
+    keys = np.array([(r.k1, r.k2) for r in grown.common.collect()])
+    screened = {(r.k1, r.k2) for r in grown.screened(grown.postings).collect()}
+    assert {tuple(k) for k in keys.tolist()} <= screened
+    got = line_dedup.dedup_lines(spark, a.unionByName(b), state=grown).collect()
+    assert {r.doc_id: (r.text, r.n_lines, r.n_dropped) for r in got} == plain_lines(line_rows)
+    less = grown.delete(b.select("doc_id"))
+    assert held(less) == held(before)
     got = line_dedup.dedup_lines(spark, a, state=less).collect()
-    assert {r.doc_id: r.text for r in got} == {k: v[0] for k, v in plain_lines(line_rows[:30]).items()}
+    assert {r.doc_id: r.text for r in got} == {k: v[0] for k, v in plain_lines(line_rows[:40]).items()}
+    assert held(less.delete(a.select("doc_id"))) == (set(), {})
+
+
+def test_a_filter_that_overflows_is_built_anew(spark):
+    line = lambda k: "line number %d, which is long enough to count" % k
+    rows = lambda keys: spark.createDataFrame([(i, "\n".join(map(line, keys))) for i in range(5)], DOCS)
+    state = line_dedup.index_lines(spark, rows(range(3))).insert(rows(range(3, 400)))
+    assert state.filters.count() == 1 and state.common.count() == 400
+    assert state.screened(state.postings).select("k1").distinct().count() == 400
+
+
+def test_lines_of_rows_without_ids(spark):
+    common = "a line that is common to all of these documents here"
+    rows = [(None, common)] * 3 + [(i, common + "\nown") for i in range(4)]
+    got = line_dedup.dedup_lines(spark, spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted([(None, common)] * 3 + [(0, "own"), (1, "own"), (2, "own"), (3, common + "\nown")], key=repr)
 
 
 def test_cuckoo_filter():
