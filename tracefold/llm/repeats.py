@@ -9,11 +9,14 @@ core of ``LENGTH - WIDTH + 1`` bytes, at one place relative to that substring, s
 core; cores that occur once go. The rest are small collections of strings made of the bytes left of the core, the
 core as a single symbol, and the bytes right of it. They are suffix-sorted column by column: each round puts one more
 symbol of every string in front, and inserts the new suffixes into the collection's Burrows-Wheeler transform and its
-array of common prefixes, which are read and written as sequential files. A suffix that has a neighbour with a common
-prefix of ``LENGTH`` bytes is a repeat. The files are held in memory as long as they are small, as collections are.
+array of common prefixes, which are read and written from beginning to end, as sequential files held in memory: a
+bundle of collections has a bounded size. A suffix with a neighbour that shares ``LENGTH`` bytes is a repeat.
 
 Segments and pieces that stand twice as a whole are repeats without more ado, and only one of each kind takes part in
-the comparison. Pieces of a core that has more than ``MOST`` kinds are not collected: their strings' hashes are counted.
+the comparison. Pieces of a core with more than ``MOST`` kinds are cut in halves, whose cores are longer, and so on:
+a core of ``LENGTH`` bytes has one kind. So collections are small however many copies there are, and all go the same way.
+
+Segments, cores and pieces are known by 128-bit hashes; what differs within a collection is compared byte by byte.
 
 Edge cases: a null or empty text has no bytes; matches never cross rows; rows that repeat a doc_id are documents of
 their own; texts under 200 bytes are left as they are; a null doc_id stays null; an empty table gives an empty result;
@@ -23,14 +26,15 @@ kept bytes, without what is left of characters that were cut.
 
 from __future__ import annotations
 
-import tempfile
+import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -40,14 +44,12 @@ LENGTH = 200
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 WIDTH = 34
-CORE = LENGTH - WIDTH + 1
+#: Kinds of pieces in a collection, at most, and in a bundle of collections, on average.
 MOST = 2_000
 BUNDLE = 2_000
 BLOCK = 4 << 20
 STEP = 1 << 20
-IN_MEMORY = 8 << 20
-#: Sides of joins are broadcast up to these sizes; beyond them both sides are shuffled, with the same result.
-BROADCAST_ROWS = 2_000_000
+#: Documents' starts are broadcast up to this size; beyond it both sides are shuffled, with the same result.
 BROADCAST_BYTES = 32 << 20
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0xD6E8FEB86659FD93)
 
@@ -75,8 +77,9 @@ def least(h: np.ndarray) -> np.ndarray:
     return np.minimum(h[: len(h) - (WINDOW - n)], h[WINDOW - n :])
 
 
-def segments_of(raw: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
-    """(start, starts, class, hash of the segment, whether the class's substring stands in it more than once)."""
+def segments_of(raw: bytes) -> tuple[list[int], list[int], list[int], list[bytes], list[bool]]:
+    """Of each segment: start, starts, class, 128-bit hash, and whether the class's substring stands in it more than once."""
+    begin, many, kind, content, again = [], [], [], [], []
     for at in range(0, len(raw) - LENGTH + 1, STEP):
         part = raw[at : at + STEP + LENGTH - 1]
         h = grams(np.frombuffer(part, np.uint8))
@@ -87,12 +90,16 @@ def segments_of(raw: bytes) -> Iterator[tuple[int, int, int, int, bool]]:
         for lo, hi, value in zip([0, *cuts.tolist()], [*cuts.tolist(), len(m)], values, strict=True):
             for s in range(lo, hi, WINDOW):
                 e = min(hi, s + WINDOW)
-                content = xxhash.xxh3_64_intdigest(view[s : e + LENGTH - 1])
-                yield at + s, e - s, value, content - (1 << 64) if content >> 63 else content, bool(np.count_nonzero(h[s : e + WINDOW - 1] == m[s]) > 1)
+                begin.append(at + s)
+                many.append(e - s)
+                kind.append(value)
+                content.append(xxhash.xxh3_128_digest(view[s : e + LENGTH - 1]))
+                again.append(bool(np.count_nonzero(h[s : e + WINDOW - 1] == m[s]) > 1))
+    return begin, many, kind, content, again
 
 
-def pieces_of(raw: bytes, starts: list[int], counts: list[int]) -> Iterator[tuple[int, int, int, int, int, bytes, bytes]]:
-    """(core's hash, hash of the piece, bin, first start, starts, bytes left of the core, bytes right of it)."""
+def pieces_of(raw: bytes, starts: list[int], counts: list[int]) -> Iterator[tuple[bytes, bytes, int, int, int, int, bytes, bytes]]:
+    """The pieces of segments: see ``piece``."""
     for s, n in zip(starts, counts, strict=True):
         h = grams(np.frombuffer(raw, np.uint8, n + LENGTH - 1, s))
         found = np.flatnonzero(h == h[:WINDOW].min())
@@ -106,17 +113,35 @@ def pieces_of(raw: bytes, starts: list[int], counts: list[int]) -> Iterator[tupl
             for b in range(near // WIDTH, far // WIDTH + 1):
                 lo, hi = b * WIDTH, b * WIDTH + WIDTH - 1
                 d1, d2 = max(lo, near), min(hi, far)
-                left, right = raw[p - d2 : p - lo], raw[p - hi + LENGTH : p - d1 + LENGTH]
-                core = xxhash.xxh3_64_intdigest(raw[p - lo : p - hi + LENGTH], b)
-                whole = xxhash.xxh3_64_intdigest(b"%d %d " % (d1, d2) + left + right)
-                yield core - (core >> 63 << 64), whole - (whole >> 63 << 64), b, p - d2, d2 - d1 + 1, left, right
+                core = xxhash.xxh3_128_digest(raw[p - lo : p - hi + LENGTH], b)
+                yield piece(core, lo, hi, d1, d2, p - d2, raw[p - d2 : p - lo], raw[p - hi + LENGTH : p - d1 + LENGTH])
+
+
+def piece(core: bytes, lo: int, hi: int, d1: int, d2: int, start: int, left: bytes, right: bytes) -> tuple[bytes, bytes, int, int, int, int, bytes, bytes]:
+    """(core's hash, hash of the piece, lo, hi, first start, starts, bytes left of the core, bytes right of it).
+
+    A core begins ``lo`` bytes before the class's substring and is the bytes that are common to all strings that begin
+    ``lo`` to ``hi`` before it. The piece has those that begin ``d1`` to ``d2`` before it.
+    """
+    return core, xxhash.xxh3_128_digest(b"%d %d " % (d1, d2) + left + right), lo, hi, start, d2 - d1 + 1, left, right
+
+
+def halves(core: bytes, lo: int, hi: int, start: int, n: int, left: bytes, right: bytes) -> Iterator[tuple[bytes, bytes, int, int, int, int, bytes, bytes]]:
+    """The same strings as pieces of two longer cores, each half as wide."""
+    far, near, middle = lo + len(left), hi - len(right), (lo + hi) // 2
+    for low, high in ((lo, middle), (middle + 1, hi)):
+        d1, d2 = max(near, low), min(far, high)
+        if d1 <= d2:
+            more = left[far - low :], right[: hi - high]
+            longer = xxhash.xxh3_128_digest(b"%d %d %d " % (low, high, len(more[0])) + core + more[0] + more[1])
+            yield piece(longer, low, high, d1, d2, start + far - d2, left[far - d2 : far - low], right[hi - high : hi - d1])
 
 
 class _File:
-    """An array in a file that is read and written from its beginning to its end."""
+    """An array in a file (in memory) that is read and written from its beginning to its end."""
 
     def __init__(self, kind):
-        self.kind, self.file = kind, tempfile.SpooledTemporaryFile(max_size=IN_MEMORY)
+        self.kind, self.file = kind, io.BytesIO()
 
     def read(self) -> np.ndarray:
         self.file.seek(0)
@@ -180,11 +205,16 @@ def common_prefixes(strings: list[np.ndarray], weight) -> tuple[np.ndarray, np.n
     return suffix.read(), prefix.read()
 
 
-def repeats(cores: np.ndarray, lefts: list[bytes], rights: list[bytes]) -> list[np.ndarray]:
-    """For each piece, which of its starts (from the left) begin a string that stands at another start too."""
-    symbols = np.unique(cores, return_inverse=True)[1] + 257
-    strings = [np.concatenate([np.frombuffer(a, np.uint8).astype(np.int64) + 1, [c], np.frombuffer(z, np.uint8).astype(np.int64) + 1]) for a, c, z in zip(lefts, symbols.tolist(), rights, strict=True)]
-    suffix, prefix = common_prefixes(strings, lambda s: np.where(s > 256, CORE, 1))
+def repeats(cores: np.ndarray, sizes: np.ndarray, lefts: list[bytes], rights: list[bytes]) -> list[np.ndarray]:
+    """For each piece, which of its starts (from the left) begin a string that stands at another start too.
+
+    ``cores`` are numbers from 0 on, and ``sizes`` has the length of each.
+    """
+    symbols = cores + 257
+    weight = np.concatenate([np.ones(257, np.int64), sizes])
+    bytes_of = lambda x: np.frombuffer(x, np.uint8).astype(np.int64) + 1
+    strings = [np.concatenate([bytes_of(a), [c], bytes_of(z)]) for a, c, z in zip(lefts, symbols.tolist(), rights, strict=True)]
+    suffix, prefix = common_prefixes(strings, weight.__getitem__)
     near = np.maximum(prefix, np.append(prefix[1:], 0)) >= LENGTH
     size = np.array([*map(len, strings)])
     flags = np.zeros(int(size.sum()) + 1, bool)
@@ -195,7 +225,9 @@ def repeats(cores: np.ndarray, lefts: list[bytes], rights: list[bytes]) -> list[
 
 def _bundle(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    found = repeats(rows["core"].to_numpy(), rows["left"].tolist(), rows["right"].tolist())
+    _, first, cores = np.unique(rows[["c1", "c2"]].to_numpy(), axis=0, return_index=True, return_inverse=True)
+    sizes = LENGTH - (rows["hi"] - rows["lo"]).to_numpy()[first]
+    found = repeats(cores.ravel(), sizes, rows["left"].tolist(), rows["right"].tolist())
     for who, digest, start, flags in zip(rows["_tf_id"], rows["_tf_hash"], rows["start"], found, strict=True):
         if flags.any():
             edge = np.flatnonzero(np.diff(np.concatenate(([0], flags.view(np.int8), [0]))))
@@ -203,20 +235,6 @@ def _bundle(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["_tf_id", "_tf_hash", "start", "n"])
 
 
-def _lone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each start of the pieces with the hash of its string, made of the core's hash and the bytes beside it."""
-    for batch in batches:
-        out = []
-        for who, digest, core, b, start, n, left, right in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lo, hi = b * WIDTH, b * WIDTH + WIDTH - 1
-            far = lo + len(left)
-            for k in range(n):
-                d = far - k
-                out.append((who, digest, start + k, xxhash.xxh3_64_intdigest(b"%d %d " % (core, d) + left[k:] + right[: hi - d]) >> 1))
-        columns = zip(*out, strict=True) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=["_tf_id", "_tf_hash", "start", "string"])
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The removed runs of bytes of each document, from its repeated starts."""
     for batch in batches:
@@ -232,21 +250,37 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(begins, pa.list_(pa.int32())), pa.array(ends, pa.list_(pa.int32()))], names=["_tf_id", "_tf_hash", "_tf_begins", "_tf_ends"])
 
 
+def _longs(digests: list[bytes]) -> list[pa.Array]:
+    """128-bit hashes as two columns."""
+    pairs = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+    return [pa.array(pairs[:, 0]), pa.array(pairs[:, 1])]
+
+
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_())
     for b in blocks(batches, "text", BLOCK):
-        rows, many = [], []
+        lists, many = [[], [], [], [], []], []
         for t in texts(b, "text"):
-            found = [*segments_of(t.encode())]
-            rows += found
-            many.append(len(found))
-        columns = zip(*rows, strict=True) if rows else [[]] * 5
+            found = segments_of(t.encode())
+            for whole, own in zip(lists, found, strict=True):
+                whole += own
+            many.append(len(found[0]))
         owners = [pa.array(np.repeat(b.column(c).to_numpy(), many)) for c in (0, 1)]
-        yield pa.RecordBatch.from_arrays([*owners, *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names=["_tf_id", "_tf_hash", "start", "n", "class", "content", "again"])
+        start, n, kind, content, again = lists
+        columns = [*owners, pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(kind, pa.int64()), *_longs(content), pa.array(again, pa.bool_())]
+        yield pa.RecordBatch.from_arrays(columns, names=["_tf_id", "_tf_hash", "start", "n", "class", "k1", "k2", "again"])
+
+
+_PIECE = ["_tf_id", "_tf_hash", "c1", "c2", "w1", "w2", "lo", "hi", "start", "n", "left", "right"]
+_PIECES = "_tf_id long, _tf_hash long, c1 long, c2 long, w1 long, w2 long, lo int, hi int, start int, n int, left binary, right binary"
+
+
+def _piece_batch(owners: list[pa.Array], rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    core, whole, *rest = zip(*rows, strict=True) if rows else [[]] * 8
+    return pa.RecordBatch.from_arrays([*owners, *_longs(core), *_longs(whole), *(pa.array(c, t) for c, t in zip(rest, kinds, strict=True))], names=_PIECE)
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
     for b in blocks(batches, "text", BLOCK // 4):
         columns = dict(zip(b.schema.names, b.columns, strict=True))
         rows, many = [], []
@@ -254,9 +288,19 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found = [*pieces_of(t.encode(), starts, counts)]
             rows += found
             many.append(len(found))
-        made = zip(*rows, strict=True) if rows else [[]] * 7
-        owners = [pa.array(np.repeat(columns[c].to_numpy(), many)) for c in ("_tf_id", "_tf_hash")]
-        yield pa.RecordBatch.from_arrays([*owners, *(pa.array(c, t) for c, t in zip(made, kinds, strict=True))], names=["_tf_id", "_tf_hash", "core", "whole", "bin", "start", "n", "left", "right"])
+        yield _piece_batch([pa.array(np.repeat(columns[c].to_numpy(), many)) for c in ("_tf_id", "_tf_hash")], rows)
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        columns = {c: b.column(b.schema.get_field_index(c)) for c in _PIECE}
+        cores = np.stack([columns[c].to_numpy() for c in ("c1", "c2")], 1).tobytes()
+        rows, many = [], []
+        for k, rest in enumerate(zip(*(columns[c].to_pylist() for c in ("lo", "hi", "start", "n", "left", "right")), strict=True)):
+            found = [*halves(cores[16 * k : 16 * k + 16], *rest)]
+            rows += found
+            many.append(len(found))
+        yield _piece_batch([pa.array(np.repeat(columns[c].to_numpy(), many)) for c in ("_tf_id", "_tf_hash")], rows)
 
 
 _OWNER = "_tf_id long, _tf_hash long"
@@ -273,52 +317,58 @@ def _small(spans: DataFrame, column: str) -> DataFrame:
     return F.broadcast(spans) if 64 * rows + 8 * (inner or 0) <= BROADCAST_BYTES else spans
 
 
-def _few(keys: DataFrame) -> DataFrame:
-    """Marked for broadcast if there are, as counted, no more than the bound."""
-    return F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+_SPAN = ["_tf_id", "_tf_hash", "start", "n"]
+
+
+def _alike(*columns: str) -> Column:
+    """Whether all rows of a group have the same hash."""
+    return reduce(Column.__and__, [F.min(c) == F.max(c) for c in columns])
+
+
+def settled(pieces: DataFrame, scratch: Scratch, level: int) -> tuple[list[DataFrame], DataFrame | None]:
+    """The repeated starts among pieces, and what is left to do: one of each kind of piece of cores with too many kinds."""
+    core = ["c1", "c2"]
+    cores = pieces.groupBy(*core).agg(F.count("*").alias("_rows"), _alike("w1", "w2").alias("_same")).filter("_rows > 1").drop("_rows")
+    met = scratch.table(pieces.join(cores, core), f"met-{level}")
+    # What stands twice is a repeat, and one of each kind is compared with the others of its core.
+    unlike = met.filter("not _same")
+    rest = [c for c in _PIECE if c not in (*core, "w1", "w2", *_SPAN)]
+    whole = unlike.groupBy(*core, "w1", "w2").agg(F.count("*").alias("_rows"), F.min(F.struct(*_SPAN)).alias("_one"), F.min(F.struct(*rest)).alias("_bytes"))
+    whole = scratch.table(whole, f"whole-{level}")
+    twin = unlike.join(whole.filter("_rows > 1").select(*core, "w1", "w2"), [*core, "w1", "w2"])
+    many = scratch.table(whole.groupBy(*core).agg(F.count("*").alias("_kinds")).filter("_kinds > 1"), f"many-{level}")
+    compared = whole.join(many, core).select("_kinds", *core, "w1", "w2", "_one.*", "_bytes.*")
+    kinds, most = many.agg(F.sum(F.when(F.col("_kinds") <= MOST, F.col("_kinds"))), F.max("_kinds")).first()
+    small = compared.filter(F.col("_kinds") <= MOST).withColumn("bundle", F.pmod(F.xxhash64(*core), F.lit(max(1, -(-(kinds or 0) // BUNDLE)))))
+    sorted_ = small.select("bundle", *core, *_SPAN, "lo", "hi", "left", "right").groupBy("bundle").applyInPandas(_bundle, f"{_OWNER}, start int, n int")
+    found = [met.filter("_same").select(*_SPAN), twin.select(*_SPAN), sorted_]
+    return found, compared.filter(F.col("_kinds") > MOST).select(*_PIECE) if (most or 0) > MOST else None
 
 
 def removed_runs(spark: SparkSession, keyed: DataFrame, scratch: Scratch) -> DataFrame:
     """(_tf_id, _tf_hash, _tf_begins, _tf_ends) for each document of (_tf_id, _tf_hash, text) that loses bytes."""
-    columns = ["_tf_id", "_tf_hash", "start", "n"]
-    found = scratch.table(keyed.mapInArrow(thrifty(_segments), f"{_OWNER}, start int, n int, class long, content long, again boolean"), "segments")
-    classes = found.groupBy("class").agg(F.count("*").alias("rows"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("again").alias("again"))
-    classes = classes.filter("rows > 1 or again").select("class", (F.col("rows") > 1).alias("_many"), ((F.col("rows") > 1) & (F.col("lo") == F.col("hi"))).alias("_same"))
-    classes = scratch.table(classes, "classes")
-    flagged = found.join(_few(classes), "class")
-    flagged = scratch.table(flagged.select(*columns, "class", "content", "_same"), "flagged")
+    found = scratch.table(keyed.mapInArrow(thrifty(_segments), f"{_OWNER}, start int, n int, class long, k1 long, k2 long, again boolean"), "segments")
+    classes = found.groupBy("class").agg(F.count("*").alias("rows"), _alike("k1", "k2").alias("_alike"), F.max("again").alias("again"))
+    classes = classes.filter("rows > 1 or again").select("class", ((F.col("rows") > 1) & F.col("_alike")).alias("_same"))
+    flagged = scratch.table(found.join(classes, "class").select(*_SPAN, "class", "k1", "k2", "_same"), "flagged")
     scratch.drop("segments")
 
     # Segments that stand twice are repeats; one of each kind goes on, as others may share a part of it.
     mixed = flagged.filter("not _same")
-    kinds = scratch.table(mixed.groupBy("class", "content").agg(F.count("*").alias("_rows"), F.min(F.struct(*columns)).alias("_one")), "kinds")
-    equal = mixed.join(_few(kinds.filter("_rows > 1").select("class", "content")), ["class", "content"]).select(*columns)
+    kinds = scratch.table(mixed.groupBy("class", "k1", "k2").agg(F.count("*").alias("_rows"), F.min(F.struct(*_SPAN)).alias("_one")), "kinds")
+    equal = mixed.join(kinds.filter("_rows > 1").select("class", "k1", "k2"), ["class", "k1", "k2"]).select(*_SPAN)
     open_ = scratch.table(_by_document(kinds.select("_one.*")), "open")
-    cut = keyed.join(_small(open_, "starts"), ["_tf_id", "_tf_hash"])
-    pieces = scratch.table(cut.select("_tf_id", "_tf_hash", "text", "starts", "counts").mapInArrow(thrifty(_pieces), f"{_OWNER}, core long, whole long, bin int, start int, n int, left binary, right binary"), "pieces")
-    cores = pieces.groupBy("core").agg(F.count("*").alias("_rows"), F.min("whole").alias("lo"), F.max("whole").alias("hi")).filter("_rows > 1")
-    cores = scratch.table(cores.select("core", (F.col("lo") == F.col("hi")).alias("_same")), "cores")
-    met = scratch.table(pieces.join(_few(cores), "core"), "met")
-    scratch.drop("pieces")
-
-    # The same for pieces: what stands twice is a repeat, and one of each kind is compared with the others of its core.
-    unlike = met.filter("not _same")
-    whole = scratch.table(unlike.groupBy("core", "whole").agg(F.count("*").alias("_rows"), F.min(F.struct(*columns)).alias("_one"), F.min(F.struct("bin", "left", "right")).alias("_bytes")), "whole")
-    twin = unlike.join(_few(whole.filter("_rows > 1").select("core", "whole")), ["core", "whole"]).select(*columns)
-    many = scratch.table(whole.groupBy("core").agg(F.count("*").alias("_kinds")).filter("_kinds > 1"), "many")
-    compared = whole.select("core", "_one.*", "_bytes.*").join(_few(many), "core")
-    small = compared.filter(f"_kinds <= {MOST}")
-    bundles = max(1, -(-(many.filter(f"_kinds <= {MOST}").agg(F.sum("_kinds")).first()[0] or 0) // BUNDLE))
-    sorted_ = small.withColumn("bundle", F.pmod(F.xxhash64("core"), F.lit(bundles))).groupBy("bundle").applyInPandas(_bundle, f"{_OWNER}, start int, n int")
-    large = compared.filter(f"_kinds > {MOST}").select("_tf_id", "_tf_hash", "core", "bin", "start", "n", "left", "right")
-    lone = scratch.table(large.mapInArrow(thrifty(_lone), f"{_OWNER}, start int, string long"), "lone")
-    twice = lone.groupBy("string").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("string")
-    counted = lone.join(twice, "string").select("_tf_id", "_tf_hash", "start", F.lit(1).alias("n"))
-
-    spans = flagged.filter("_same").select(*columns)
-    for more in (equal, met.filter("_same").select(*columns), twin, sorted_, counted):
-        spans = spans.unionByName(more)
-    return scratch.table(_by_document(spans).mapInArrow(thrifty(_runs), f"{_OWNER}, _tf_begins array<int>, _tf_ends array<int>"), "runs")
+    cut = keyed.join(_small(open_, "starts"), ["_tf_id", "_tf_hash"]).select("_tf_id", "_tf_hash", "text", "starts", "counts")
+    pieces = scratch.table(cut.mapInArrow(thrifty(_pieces), _PIECES), "pieces")
+
+    spans, level = [flagged.filter("_same").select(*_SPAN), equal], 0
+    while pieces is not None:
+        more, left = settled(pieces, scratch, level)
+        spans += more
+        level += 1
+        pieces = left if left is None else scratch.table(left.mapInArrow(_halves, _PIECES), f"pieces-{level}")
+    whole = reduce(DataFrame.unionByName, spans)
+    return scratch.table(_by_document(whole).mapInArrow(thrifty(_runs), f"{_OWNER}, _tf_begins array<int>, _tf_ends array<int>"), "runs")
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame) -> DataFrame:
