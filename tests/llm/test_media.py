@@ -1,5 +1,6 @@
 """Progressive JPEG: stored payloads, and a decoder that takes images of any progressive shape."""
 
+import hashlib
 import math
 import random
 import struct
@@ -183,12 +184,54 @@ def test_zigzag():
     assert media.ZIGZAG[:10].tolist() == [0, 1, 8, 16, 9, 2, 3, 10, 17, 24] and sorted(media.ZIGZAG) == list(range(64))
 
 
+def test_colours_of_an_upsampled_image():
+    """Three components in 4:2:0 against the definition: inverse transform, repeated chroma, real-valued conversion."""
+    raw = np.random.default_rng(7).choice([0, 255, 254, 1], 64 * 40, p=[0.9, 0.06, 0.02, 0.02]).astype(np.uint8).tobytes()
+    [image], coef, base = decoded(media.encode([raw]))
+    [(_, made)] = media.tensors([image], coef, base)
+    assert [c[1:3] for c in image.components] == [(2, 2), (1, 1), (1, 1)]
+    a = np.array([[(math.sqrt(1 / 8) if u == 0 else 0.5) * math.cos((2 * x + 1) * u * math.pi / 16) for x in range(8)] for u in range(8)])
+    _, _, planes, _ = media._layout(image.height, image.width, tuple(image.components))
+    full = []
+    for (wide, high, first, _), (_, h, v, q) in zip(planes, image.components, strict=True):
+        plane = np.zeros((8 * high, 8 * wide))
+        for k in range(wide * high):
+            block = np.zeros(64)
+            block[media.ZIGZAG] = coef[base[0] + first + k] * np.asarray(image.quantization[q])
+            plane[8 * (k // wide) : 8 * (k // wide) + 8, 8 * (k % wide) : 8 * (k % wide) + 8] = np.clip(a.T @ block.reshape(8, 8) @ a + 128, 0, 255)
+        full.append([[plane[y * v // 2, x * h // 2] for x in range(image.width)] for y in range(image.height)])
+    y, cb, cr = np.array(full[0]), np.array(full[1]) - 128, np.array(full[2]) - 128
+    want = np.clip(np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], -1), 0, 255)
+    assert made.shape[1:] == want.shape and np.abs(made[0] - want).max() <= 3 and want.std() > 5
+
+
 def test_operator(spark):
     rows = [(1, "some text"), (2, None), (3, ""), (4, "some text"), (None, "x" * 5000)]
-    got = media.store_and_read(spark.createDataFrame(rows, "doc_id long, text string"), with_tensors=True).collect()
+    df = spark.createDataFrame([(*r, b"own") for r in rows], "doc_id long, text string, rgb binary")
+    got = media.store_and_read(df).collect()
     assert [bytes(r.payload) for r in got] == [media.payload(t) for _, t in rows]
-    assert got[0].media == got[3].media and got[0].feature == got[3].feature and all(len(r.rgb) == r.height * r.width * 3 for r in got)
-    assert media.store_and_read(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    assert got[0].media == got[3].media and got[0].rgb == got[3].rgb and all(len(r.rgb) == r.height * r.width * 3 for r in got)
+    features = media.with_feature(media.store_and_read(df)).collect()
+    assert [r.feature for r in features] == [media.feature(np.frombuffer(r.rgb, np.uint8).reshape(r.height, r.width, 3)) for r in got]
+    empty = media.store_and_read(spark.createDataFrame([], "doc_id long, text string"))
+    assert empty.count() == media.with_feature(empty).count() == 0
+
+
+def test_query_against_the_texts(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = media.op1_media_columns(spark, sf).collect()
+    assert len(got) == len(texts)
+    seen = {}
+    for r in got:
+        own = media.payload(texts[r.doc_id])
+        assert (r.n_bytes, r.payload_bytes) == (len((texts[r.doc_id] or "").encode()), len(own))
+        assert (r.payload_sha256, r.tail_crc32) == (hashlib.sha256(own).hexdigest(), zlib.crc32(own[-64:]))
+        [made] = media.encode([own])
+        [image], coef, base = decoded([made])
+        [(_, tensor)] = media.tensors([image], coef, base)
+        assert (r.media_bytes, r.media_sha256, r.feature) == (len(made), hashlib.sha256(made).hexdigest(), media.feature(tensor[0]))
+        assert seen.setdefault(texts[r.doc_id], r[1:]) == r[1:]
 
 
 def test_digests(spark):

@@ -26,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from tracefold.llm.common import blocks
+from tracefold.llm.common import blocks, small_batches
 
 UNIT = 64
 BLOCK = 4 << 20
@@ -542,27 +543,25 @@ def payload(text: str | None) -> bytes:
     return raw + bytes(-len(raw) % UNIT or UNIT * (not raw))
 
 
-def store_and_read(docs: DataFrame, with_tensors: bool = False) -> DataFrame:
+def store_and_read(docs: DataFrame) -> DataFrame:
     """Stores each text of (doc_id, text) as an image and reads the stored bytes back.
 
-    (doc_id, n_bytes, media binary, payload binary, height, width, feature), and with ``with_tensors`` rgb binary: the
-    tensor's bytes, row by row. The payload and the tensor come from the media alone.
+    (doc_id, n_bytes, media binary, payload binary, height, width, rgb binary): rgb is the full-resolution tensor, row by
+    row, three bytes a sample. The payload and the tensor come from the media alone.
     """
-    names = ["doc_id", "n_bytes", "media", "payload", "height", "width", "feature", *["rgb"] * with_tensors]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.string(), pa.binary()]
+    names = ["doc_id", "n_bytes", "media", "payload", "height", "width", "rgb"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", BLOCK // 4 if with_tensors else BLOCK):
+        for b in blocks(batches, "text", BLOCK // 4):
             found = b.column(1).to_pylist()
             media = encode([payload(t) for t in found])
             images = [parse(m) for m in media]
             coef, base = coefficients(images)
-            features, rgb = [""] * len(images), [b""] * len(images)
+            rgb = [b""] * len(images)
             for own, made in tensors(images, coef, base):
                 for place, tensor in zip(own, made, strict=True):
-                    features[place] = feature(tensor)
-                    if with_tensors:
-                        rgb[place] = tensor.tobytes()
+                    rgb[place] = tensor.tobytes()
             columns = [
                 b.column(0).to_pylist(),
                 [len((t or "").encode()) for t in found],
@@ -570,18 +569,34 @@ def store_and_read(docs: DataFrame, with_tensors: bool = False) -> DataFrame:
                 [payload_of(i, coef, at) for i, at in zip(images, base, strict=False)],
                 [i.height for i in images],
                 [i.width for i in images],
-                features,
-                *[rgb] * with_tensors,
+                rgb,
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    schema = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, feature string" + ", rgb binary" * with_tensors
+    schema = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
 
 
+def with_feature(stored: DataFrame) -> DataFrame:
+    """``stored`` with the feature of each row's tensor (height, width, rgb) in place of the tensor."""
+    kept = stored.drop("rgb", "feature")
+    names = kept.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = dict(zip(b.schema.names, b.columns, strict=True))
+            shapes = zip(columns["height"].to_pylist(), columns["width"].to_pylist(), columns["rgb"], strict=True)
+            found = [feature(np.frombuffer(v.as_buffer(), np.uint8).reshape(h, w, 3)) for h, w, v in shapes]
+            yield pa.RecordBatch.from_arrays([*(columns[c] for c in names), pa.array(found, pa.string())], names=[*names, "feature"])
+
+    return stored.mapInArrow(run, StructType([*kept.schema.fields, StructField("feature", StringType())]))
+
+
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     stored = store_and_read(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return stored.select(
+    # The digests are taken beside the tensors, so that texts, media and payloads go no further than this.
+    digests = stored.select(
         "doc_id",
         "n_bytes",
         F.length("payload").cast("long").alias("payload_bytes"),
@@ -589,5 +604,8 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -UNIT, UNIT)).alias("tail_crc32"),
         F.length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        "feature",
+        "height",
+        "width",
+        "rgb",
     )
+    return with_feature(digests).drop("height", "width")
