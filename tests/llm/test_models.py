@@ -1,6 +1,8 @@
 """Language identification and toxicity: held-out accuracy and edge cases."""
 
+import math
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -31,6 +33,28 @@ def test_language_edge_cases(spark):
     assert language_id.predict(spark, docs.limit(0), model).count() == 0
 
 
+def test_languages_by_a_plain_bayes(spark):
+    """Every n-gram on its own, from the whole training sample, without blocks or batches."""
+    texts = {"en": ["the cat sat on the mat", "dogs and cats, and the rest"], "de": ["der hund und die katze", "ein haus am see"], "fr": ["la maison est là", "le chat et le chien"]}
+    rows = [(k, t, lang) for k, (lang, t) in enumerate((lang, t) for lang, own in texts.items() for t in own)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    size = 1 << language_id.BITS
+
+    def grams(text):
+        points = language_id._points(text)
+        for n in range(1, 4):
+            for at in range(len(points) - n + 1):
+                *_, found = [*language_id.features(points[at : at + n])][:n]
+                yield int(found[0])
+
+    counts = {lang: Counter(g for t in own for g in grams(t)) for lang, own in texts.items()}
+    for text in ["the hund", "chat et cat", "x", "une maison, the house " * 30]:
+        joint = {lang: math.log(1 / 3) + sum(math.log((c[g] + 0.5) / (c.total() + 0.5 * size)) for g in grams(text)) for lang, c in counts.items()}
+        top = max(joint.values())
+        [name], [score] = model.predict([text])
+        assert joint[name] == top and math.isclose(score, 1 / sum(math.exp(j - top) for j in joint.values()), rel_tol=1e-9)
+
+
 def test_pieces_of_a_long_text_count_alike(monkeypatch):
     text = "Äpfel und birnen, the end. " * 50
     whole = language_id.count([text])
@@ -63,7 +87,41 @@ def test_toxicity_learns_and_shares_subwords():
     scores = model.predict([made(random, int(random.integers(20, 2000)), t) for t in held])
     assert scores[held].min() > scores[~held].max() - 0.5 and np.mean((scores >= 0.5) == held) > 0.95
     clean, toxic, misspelt = model.predict(["moral steam lots rent tale" * 3, "you are stupid and worthless", "you are stupidd and wworthless"])
-    assert toxic > 0.5 and misspelt > clean
+    assert toxic > 0.5 and misspelt > 0.5 > clean
+
+
+def test_toxicity_by_plain_loops():
+    random = np.random.default_rng(5)
+    labels = (np.arange(80) % 4 == 0).astype(int)
+    texts = [made(random, int(random.integers(3, 120)), t) for t in labels]
+    model = toxicity.fit(texts, labels)
+    for text in texts[:20]:
+        words = text.lower().split()
+        begin, _ = toxicity.windows(np.array([len(words)]))
+        best = -np.inf
+        for a, z in zip(begin, [*begin[1:], len(words)], strict=True):
+            total = 0.0
+            for w in set(words[a:z]):
+                bucket, _ = toxicity.subwords([w])
+                total += np.mean([float(np.float64(model.scores[b])) for b in bucket])
+            best = max(best, total / max(z - a, toxicity.LEAST))
+        assert math.isclose(model.predict([text])[0], 1 / (1 + math.exp(-best - model.bias)), rel_tol=1e-6)
+
+
+def test_training_reads_long_texts_and_keeps_its_budget(spark):
+    rows = [(i, "fine words here and there") for i in range(300)] + [(1000, "x " * 4000 + "idiot")]
+    labels = [(i, 0) for i in range(300)] + [(1000, 1), (1000, 0)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    seen = []
+    fit, toxicity.fit = toxicity.fit, lambda texts, y: seen.append((texts, y.tolist()))
+    try:
+        toxicity.train(docs, labels)
+        toxicity.train(docs, labels, chars=4_000)
+    finally:
+        toxicity.fit = fit
+    (whole, y), (few, _) = seen
+    assert len(whole) == 302 and sorted(y) == [0] * 301 + [1] and whole.count(rows[-1][1]) == 2
+    assert 0 < len(few) < 200 and all(len(t) <= 1_000 for t in few)
 
 
 def test_toxicity_edge_cases(spark):

@@ -80,15 +80,16 @@ class Model:
         def flush() -> None:
             if not held:
                 return
-            points = np.concatenate([np.concatenate([p, np.full(max(ORDERS) - 1, 32, np.uint32)]) for _, p, _ in held])
-            size = np.array([len(p) + max(ORDERS) - 1 for _, p, _ in held])
+            points = np.concatenate([p for _, p, _ in held])
+            size = np.array([len(p) for _, p, _ in held])
             first = np.cumsum(size) - size
-            starts = np.stack([first, first + [n for *_, n in held]], 1).ravel()
-            starts[-1] = min(starts[-1], len(points) - max(ORDERS) + 1)
-            for found in features(points):
+            owner, places = np.array([i for i, *_ in held]), np.array([n for *_, n in held])
+            for order, found in zip(ORDERS, features(points), strict=True):
+                many = np.clip(size - order + 1, 0, places)  # no n-gram goes beyond its text
+                has = many > 0
+                starts = np.stack([first[has], first[has] + many[has]], 1).ravel()
                 for k, weights in enumerate(self.weights):
-                    sums = np.add.reduceat(np.append(weights[found], 0.0), starts)[::2]
-                    np.add.at(total[:, k], [i for i, *_ in held], sums)
+                    np.add.at(total[:, k], owner[has], np.add.reduceat(np.append(weights[found], 0.0), starts)[::2])
             held.clear()
 
         size = 0
