@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, line dedup, MinHash near-dedup, suffix-array dedup and best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
-columns of documents. n_chars follows the text. Rows without doc_id, and null or empty texts, pass the filters.
+columns of documents. n_chars follows the text. Rows without doc_id go only as copies, and null or empty texts stay;
+rows that share an id are documents of their own, but for common lines, which go by doc_id. Other columns pass through.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ ORACLE_SQL = None
 
 def _documents(changed: DataFrame, columns: list[str]) -> DataFrame:
     """The columns of documents, with n_chars counted anew."""
-    made = changed.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long")) if "n_chars" in columns else changed
-    return made.select(*columns)
+    if "n_chars" in columns:
+        changed = changed.withColumn("n_chars", F.char_length(F.coalesce("text", F.lit(""))).cast("long"))
+    return changed.select(*columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +42,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
+    """One row of each group of near-duplicates stays, the one with the smallest doc_id."""
     common.small_batches(spark)
-    gone = near_dedup.near_duplicates(spark, docs, SIMILARITY).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.drop_near_duplicates(spark, docs, SIMILARITY)
 
 
 def suffixes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
