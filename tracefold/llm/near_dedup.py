@@ -44,8 +44,8 @@ SEEDS, BUCKETS, MANTISSA = 9, 16, 10
 ROWS = 6
 BANDS = SEEDS * BUCKETS // ROWS
 BLOCK = 2 << 20
-#: Nodes in a block of a tile, on average, and rows and shingles in a bundle of tiles.
-TILE = 64
+#: Nodes and shingles in a block of a tile, on average, and rows and shingles in a bundle of tiles.
+TILE, TILE_SHINGLES = 1_024, 500_000
 BUNDLE, SHINGLES = 4_000, 1_000_000
 COLUMNS = 4096
 #: Stands for a missing id where rows are told apart.
@@ -140,8 +140,8 @@ def _registers_of(column: pa.Array) -> np.ndarray:
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            keys = band_keys(_registers_of(b.column(1)))
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), BANDS))], names=["key", "node"])
+            keys = band_keys(_registers_of(b.column(2)))
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(pa.array(np.repeat(b.column(k).to_numpy(), BANDS)) for k in (0, 1))], names=["key", "node", "n"])
 
 
 class Threshold:
@@ -301,7 +301,7 @@ def bundled(rows: DataFrame, total: int, each: int) -> DataFrame:
 def links(nodes: DataFrame, docs: DataFrame, similarity: tuple[int, int], scratch: Scratch) -> DataFrame:
     """(node, label): nodes that are linked with others, and the least node that each can reach."""
     limit = Threshold(similarity)
-    bands = scratch.table(nodes.select("node", "sketch").mapInArrow(thrifty(_bands), "key long, node long").select("key", "node"), "bands")
+    bands = scratch.table(nodes.select("node", "n", "sketch").mapInArrow(thrifty(_bands), "key long, node long, n long"), "bands")
     heads = bands.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).filter("head < last").select("key", "head")
     met = scratch.table(bands.join(heads, "key"), "met")
     scratch.drop("bands")
@@ -322,15 +322,17 @@ def links(nodes: DataFrame, docs: DataFrame, similarity: tuple[int, int], scratc
     label = component.select("node", F.col("label").alias("_label"))
     of_head = component.select(F.col("node").alias("head"), F.col("label").alias("_major"))
     mixed = met.join(of_head, "head", "left").withColumn("major", F.coalesce("_major", "head")).join(label, "node", "left").withColumn("label", F.coalesce("_label", "node"))
-    mixed = scratch.table(mixed.select("key", "node", "label", (F.col("label") != F.col("major")).alias("minor")), "mixed")
-    counts = mixed.groupBy("key").agg(F.count("*").alias("_all"), F.count_if("minor").alias("_minor")).filter("_minor > 0")
-    parts = lambda n: F.ceil(F.col(n) / TILE).cast("int")
-    small = F.col("_all") <= TILE
-    counts = counts.withColumn("_major", F.col("_all") - F.col("_minor")).select("key", F.when(small, 0).otherwise(parts("_major")).alias("p"), F.when(small, 1).otherwise(parts("_minor")).alias("q"))
+    mixed = scratch.table(mixed.select("key", "node", "n", "label", (F.col("label") != F.col("major")).alias("minor")), "mixed")
+    sum_if = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    counts = mixed.groupBy("key").agg(F.count_if(~F.col("minor")).alias("major"), sum_if(~F.col("minor")).alias("major_n"), F.count_if("minor").alias("few"), sum_if(F.col("minor")).alias("few_n"))
+    parts = lambda count, n: F.ceil(F.greatest(count / TILE, n / TILE_SHINGLES)).cast("int")
+    all_ = parts(F.col("major") + F.col("few"), F.col("major_n") + F.col("few_n"))
+    p, q = parts(F.col("major"), F.col("major_n")), parts(F.col("few"), F.col("few_n"))
+    counts = counts.filter("few > 0").select("key", F.when(all_ == 1, 0).otherwise(p).alias("p"), F.when(all_ == 1, 1).otherwise(q).alias("q"))
     dealt = mixed.join(counts, "key")
     block = F.when(F.col("p") == 0, 0).when(F.col("minor"), F.col("p") + F.pmod(F.xxhash64("node"), F.col("q"))).otherwise(F.pmod(F.xxhash64("node"), F.col("p"))).cast("int")
     others = F.sequence(F.when(F.col("minor") | (F.col("p") == 0), 0).otherwise(F.col("p")), F.col("p") + F.col("q") - 1)
-    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(others)).join(nodes.select("node", "n", "sketch"), "node")
+    dealt = dealt.withColumn("block", block).withColumn("other", F.explode(others)).join(nodes.select("node", "sketch"), "node")
     dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "n", "sketch")
     dealt = scratch.table(dealt.select(*_ROW), "dealt")
     left = bundled(dealt, dealt.count(), BUNDLE).groupBy("bundle").applyInPandas(tile_survivors(limit), _ROWS)
