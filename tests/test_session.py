@@ -112,7 +112,81 @@ def test_provenance(logs):
     through = {(r.id, r.entry, r.status) for r in logs.recall(R1).collect()}
     assert (O1, "raw-1", "resolved") in through and ("aaaaaaaaaaa9", None, "missing") in through
     seen, rest = logs.related(["raw-1"])
-    assert [tuple(r) for r in seen.collect()] == [(O2, 1)] and [tuple(r) for r in rest.collect()] == [(R1, 1)]
+    got = {r.id: (r.session_id, r.status, r.matched, r.relevance) for r in seen.collect()}
+    assert got == {O1: ("memory", "dropped", ["raw-1"], "medium"), O2: ("memory", "active", ["raw-1"], "high"), O3: ("memory", "dropped", ["raw-1"], "medium")}
+    assert [tuple(r) for r in rest.collect()] == [("memory", R1, "learnt", 2)]
+
+
+def test_equal_ids_of_two_sessions_stay_apart(spark, tmp_path):
+    def rows(said, relevance):
+        return [message("m1", "user", said), message("m2", "user", "x"), custom(fixed.OBSERVED, "e1", "m2", observations=[observation(O1, said, relevance, ("m2", "m1", "m1"))])]
+
+    a = rows("one", "low") + [custom(fixed.REFLECTED, "e2", "m2", reflections=[reflection(R1, [O1], "from a")])]
+    b = rows("two", "high") + [custom(fixed.DROPPED, "e2", "m2", observationIds=[O1]), custom(fixed.REFLECTED, "e3", "m2", reflections=[reflection(R1, [O2], "from b")])]
+    logs = Sessions(spark, write(tmp_path, a=a, b=b))
+    seen, rest = logs.related(["m1"])
+    assert sorted((r.session_id, r.content, r.status, r.matched) for r in seen.collect()) == [("a", "one", "active", ["m1", "m1"]), ("b", "two", "dropped", ["m1", "m1"])]
+    assert [(r.session_id, r.content) for r in rest.collect()] == [("a", "from a")]
+    assert logs.related(["zz"])[0].count() == 0
+    merged = {(r.session_id, r.pos): (r.summary, r.expanded) for r in logs.expanded_search("one", [1], scope="all").collect()}
+    assert merged[("a", 0)] == ("one", False) and merged[("a", 1)] == ("x", True) and merged[("b", 1)] == ("x", True) and len(merged) == 3
+    grid = {(r.relevance, r.tier): (r.n, r.tokens) for r in logs.coverage().collect()}
+    assert grid[("low", "partial")] == (1, 10) and sum(n for n, _ in grid.values()) == 1 and len(grid) == 12
+
+
+def test_clocks_move_on_markers_with_bad_records(spark, tmp_path):
+    rows = [message("m1", "user", "abcd"), custom(fixed.OBSERVED, "e1", "m1", observations=[{"id": "short"}]), message("m2", "user", "abcdefgh"), custom(fixed.OBSERVED, "e2", "m2", observations=[]), custom(fixed.OBSERVED, "e3", "gone", observations=[{}])]
+    logs = Sessions(spark, write(tmp_path, s=rows))
+    assert logs.status().first().observed == 2 and logs.observations.count() == 0
+
+
+def test_files_of_messages(logs):
+    got = {r.path: (r.tool, r.n_lines, r.snippet) for r in logs.files().filter("session_id = 'searched'").collect()}
+    assert got == {"/src/a.py": ("write", 40, None), "/src/b.py": ("edit", 2, None)}
+    found = [tuple(r)[3:] for r in logs.files("(?i)line 1").filter("session_id = 'searched'").collect()]
+    assert found == [("write", "/src/a.py", 11, "line 1")]
+    shown = logs.recall_text("line 39").filter("session_id = 'searched'").first().text
+    assert shown.startswith('Found 1 matches for "line 39":\n\n#') and "\n  [write] /src/a.py — 40 matches    use #" in shown and "\n    | line 0" in shown
+    whole = logs.recall_text().filter("session_id = 'searched'").first().text
+    assert whole.startswith("Session history (") and "[edit] /src/b.py — 2 lines" in whole
+
+
+def test_pages_of_touched_files(logs):
+    got = [(r.rank, r.path) for r in logs.page("", mode="touched", scope="all").collect()]
+    assert got == [(1, "/src/a.py"), (2, "/src/b.py")] and logs.page("", 2, mode="touched").count() == 0
+
+
+def test_lines_keep_their_order_over_splits(spark, tmp_path):
+    rows = [message(f"m{i}", "user", "x" * (i % 50)) for i in range(3000)]
+    folder = write(tmp_path, **{"long one": rows, "b": rows[:5]})
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        logs = Sessions(spark, folder)
+        assert logs.lines.rdd.getNumPartitions() >= 1 and logs.entries.count() == 3005
+        assert [r.entry_id for r in logs.entries.filter("session_id = 'long one'").orderBy("pos").collect()] == [f"m{i}" for i in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_cursors_need_something_new(spark, tmp_path):
+    big = "x" * 4000
+    rows = [message("m1", "user", big), custom(fixed.OBSERVED, "e1", "m1", observations=[observation(O1, tokens=900)]), message("m2", "user", big), message("m3", "user", big)]
+    later = [*rows, custom(fixed.OBSERVED, "e2", "m3", observations=[observation(O2, tokens=900)])]
+    config = {"observeAfterTokens": 1500, "reflectAfterTokens": 1500, "observationsPoolMaxTokens": 2000, "dropperPressureThreshold": 9.0}
+    logs = Sessions(spark, write(tmp_path, old=rows, new=later), config)
+    shape = "session_id string, stage string, entry_id string, state string"
+    at = lambda entry_: spark.createDataFrame([(s, k, entry_, "done") for s in ("old", "new") for k in ("reflected", "dropped")], shape)
+    state = lambda df: {r.session_id: (r.observe, r.reflect, r.drop) for r in df.collect()}
+    assert state(logs.due()) == {"old": (True, True, True), "new": (False, True, True)}
+    # enough tokens after the cursor, but only the later log has a marker that covers something after it
+    assert state(logs.due(at("e1"))) == {"old": (True, False, False), "new": (False, True, True)}
+    assert state(logs.due(at("gone"))) == state(logs.due())
+    waiting = spark.createDataFrame([("old", "observed", "m2", 100)], "session_id string, kind string, covers_up_to_id string, tok long")
+    assert state(logs.due(at("e1"), waiting))["old"] == (True, True, True)
+    done = spark.createDataFrame([("s", "observed", "b", 5, "done"), ("s", "reflected", "a", 1, "done")], "session_id string, stage string, entry_id string, at long, state string")
+    kept = spark.createDataFrame([("s", "observed", "a", 1, "done"), ("s", "reflected", "c", 7, "done")], "session_id string, stage string, entry_id string, at long, state string")
+    assert {(r.stage, r.entry_id) for r in windows.advance(kept, done).collect()} == {("observed", "b"), ("reflected", "c")}
 
 
 def test_memory_text(logs):
@@ -215,9 +289,10 @@ def test_deep_lineage(spark):
 
 
 def test_merge_expanded(spark):
-    hits = spark.createDataFrame([(1, "a"), (3, "c")], "pos long, summary string")
-    full = spark.createDataFrame([(2, "BB"), (3, "CC")], "pos long, summary string")
-    assert [tuple(r) for r in search.merge_expanded(hits, full).orderBy("pos").collect()] == [(1, "a", False), (2, "BB", True), (3, "CC", True)]
+    hits = spark.createDataFrame([("s", 1, "a"), ("s", 3, "c")], "session_id string, pos long, summary string")
+    full = spark.createDataFrame([("s", 2, "BB"), ("s", 3, "CC"), ("t", 1, "D")], "session_id string, pos long, summary string")
+    got = [tuple(r) for r in search.merge_expanded(hits, full).orderBy("session_id", "pos").collect()]
+    assert got == [("s", 1, "a", False), ("s", 2, "BB", True), ("s", 3, "CC", True), ("t", 1, "D", True)]
 
 
 def test_empty_folder_of_entries(spark, tmp_path):
@@ -272,9 +347,15 @@ def test_reflections_need_known_supports(spark):
     from tracefold.operators import extraction
 
     obs = spark.createDataFrame([("s", "a"), ("s", "b")], "session_id string, id string")
-    rows = spark.createDataFrame([("s", "one\n two", ["a", "a", "b"]), ("s", "bad", ["a", "zz"]), ("s", "", ["a"])], "session_id string, content string, support_ids array<string>")
-    got = {(r.content, r.status): r.support_ids for r in extraction.reflect(rows, obs).collect()}
-    assert got == {("one two", "recorded"): ["a", "b"], ("bad", "rejected"): None, ("", "rejected"): ["a"]}
+    said = [("one\n two", ["a", "b"]), (" two ", ["b", "a", "b"]), ("two", ["a"]), ("bad", ["a", "zz"]), ("", ["a"]), ("none", []), ("known", ["a"]), ("l" * 10_050, ["a"])]
+    rows = spark.createDataFrame([("s", *p, k) for k, p in enumerate(said)], "session_id string, content string, support_ids array<string>, place int")
+    found = extraction.reflect(rows, obs).collect()
+    known = spark.createDataFrame([("s", r.id) for r in found if r.content == "known"], "session_id string, id string")
+    found = extraction.reflect(rows, obs, known).collect()
+    got = sorted(((r.content, r.status, r.support_ids) for r in found if not r.content.startswith("l")), key=repr)
+    want = [("one\n two", "rejected", ["a", "b"]), ("two", "recorded", ["a", "b"]), ("two", "duplicate", ["a"]), ("bad", "rejected", None), ("", "rejected", ["a"]), ("none", "rejected", None), ("known", "duplicate", ["a"])]
+    assert got == sorted(want, key=repr)
+    assert max(len(r.content) for r in found) < 10_050
     pool = spark.createDataFrame([("s", "a", 0, 60, 1), ("s", "b", 0, 60, 2), ("s", "c", 3, 60, 3)], "session_id string, id string, rel int, tok long, pos long")
     supports = spark.createDataFrame([("s", "r1", "b"), ("s", "r2", "b")], "session_id string, reflection string, id string")
     assert [r.id for r in extraction.drop(pool, supports, 100).collect()] == ["b"]

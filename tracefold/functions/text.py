@@ -92,10 +92,15 @@ def line_window(lines: Column, at: Column, around: int) -> tuple[Column, Column,
 
 
 def line_snippet(c: Column, pattern: str, around: int = 2) -> Column:
-    lines = F.split(c, "\n")
-    body, above, below = line_window(lines, first_match(lines, pattern), around)
-    parts = F.array(F.when(above > 0, F.concat(F.lit("...("), above, F.lit(" lines above)"))), body, F.when(below > 0, F.concat(F.lit("...("), below, F.lit(" lines below)"))))
-    return F.when(body.isNotNull(), F.array_join(parts, "\n"))
+    """Lines around the first that matches; null if none does. The text is split and searched once."""
+    found = F.transform(F.array(F.split(c, "\n")), lambda lines: F.struct(lines.alias("lines"), first_match(lines, pattern).alias("at")))
+
+    def shown(s: Column) -> Column:
+        body, above, below = line_window(s["lines"], s["at"], around)
+        note = lambda n, where: F.when(n > 0, F.concat(F.lit("...("), n, F.lit(f" lines {where})")))
+        return F.when(s["at"].isNotNull(), F.array_join(F.array(note(above, "above"), body, note(below, "below")), "\n"))
+
+    return F.get(F.transform(found, shown), F.lit(0))
 
 
 def snippet(c: Column, term: str, radius: int = 60) -> Column:

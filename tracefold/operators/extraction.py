@@ -69,18 +69,25 @@ def observe(addressed: DataFrame, extract: Extractor = by_rules, known: DataFram
 def reflect(proposals: DataFrame, observations: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(session_id, id, content, support_ids, tok, status) for proposed reflections (session_id, content, support_ids).
 
-    A reflection is one line; all observations that it names must be active, or it is rejected.
+    ``rejected``: no content, more than one line, or a named observation (session_id, id, pos) that isn't active.
+    ``duplicate``: already known, or proposed before; ``place``, if there is one, has the order of the proposals.
+    Supports are named once each, in the order of the observations.
     """
-    active = observations.groupBy("session_id").agg(F.collect_list("id").alias("_active"))
-    line = F.trim(F.regexp_replace("content", r"\s*\n\s*", " "))
-    rows = proposals.join(active, "session_id", "left").withColumn("content", line).withColumn("id", text.hash_id(F.col("content")))
+    order = F.struct("pos", "id") if "pos" in observations.columns else F.struct("id")
+    active = observations.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(order)), lambda x: x["id"]).alias("_active"))
+    if "place" not in proposals.columns:
+        proposals = proposals.withColumn("place", F.monotonically_increasing_id())
+    rows = proposals.withColumn("content", text.truncate_record(F.regexp_replace("content", r"^\s+|\s+$", ""))).withColumn("id", text.hash_id(F.col("content")))
+    rows = rows.join(active, "session_id", "left")
     supports = provenance.all_known(F.col("support_ids"), F.coalesce("_active", F.array().cast("array<string>")))
     rows = rows.withColumn("support_ids", supports)
     old = F.lit(False)
     if known is not None:
         rows = rows.join(known.select("session_id", "id", F.lit(True).alias("_old")).distinct(), ["session_id", "id"], "left")
         old = F.coalesce("_old", F.lit(False))
-    status = F.when(F.col("support_ids").isNull() | (F.col("content") == ""), "rejected").when(old, "duplicate").otherwise("recorded")
+    rows = rows.withColumn("_bad", F.coalesce(F.col("support_ids").isNull() | (F.col("content") == "") | F.col("content").rlike("[\r\n]"), F.lit(True)))
+    first = F.row_number().over(Window.partitionBy("session_id", "id", "_bad").orderBy("place")) == 1
+    status = F.when(F.col("_bad"), "rejected").when(~first | old, "duplicate").otherwise("recorded")
     return rows.select("session_id", "id", "content", "support_ids", text.tokens(F.col("content")).alias("tok"), status.alias("status"))
 
 

@@ -81,10 +81,46 @@ def matching_lines(docs: DataFrame, pattern: str, hay: str = "text") -> DataFram
     return docs.withColumn("n_lines", F.size(hit).cast("long")).withColumn("first_line", F.get(hit, F.lit(0))).filter("n_lines > 0")
 
 
+def file_matches(calls: DataFrame, pattern: str | None = None) -> DataFrame:
+    """(session_id, pos, part_idx, tool, path, n_lines, snippet) by call (..., text): matching lines and the first of them.
+
+    Without a pattern, the lines that are not blank, and no snippet.
+    """
+    lines = F.split("text", "\n")
+    hit = F.filter(lines, (lambda x: F.trim(x) != "") if pattern is None else (lambda x: x.rlike(pattern)))
+    found = calls.withColumn("_hit", hit).withColumn("n_lines", F.size("_hit").cast("long"))
+    snippet = F.lit(None).cast("string") if pattern is None else F.get("_hit", F.lit(0))
+    found = found.select("session_id", "pos", "part_idx", "tool", "path", "n_lines", snippet.alias("snippet"))
+    return found if pattern is None else found.filter("n_lines > 0")
+
+
+def recall_text(hits: DataFrame, files: DataFrame, query: str = "", most: int = 3) -> DataFrame:
+    """(session_id, text): hits (session_id, place, pos, role, body) of each session as recall shows them.
+
+    files: file_matches; of a hit's files the first ``most`` are shown.
+    """
+    one, many = ("match", "matches") if query else ("line", "lines")
+    label = F.when(F.col("n_lines") == 1, one).otherwise(many)
+    line = F.concat(F.lit("  ["), "tool", F.lit("] "), text.short_path(F.col("path")), F.lit(" — "), F.col("n_lines").cast("string"), F.lit(" "), label, F.lit("    use #"), F.col("pos").cast("string"), F.lit(":"), "path")
+    line = F.concat(line, F.coalesce(F.concat(F.lit("\n    | "), "snippet"), F.lit("")))
+    listed = files.groupBy("session_id", "pos").agg(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", line.alias("line")))), lambda x: x["line"]).alias("_files"))
+    rows = hits.join(listed, ["session_id", "pos"], "left")
+    head = F.concat(F.lit("#"), F.col("pos").cast("string"), F.lit(" ["), "role", F.lit("]"))
+    n = F.size("_files")
+    more = F.when(n > most, F.concat(F.lit("\n  ...("), (n - most).cast("string"), F.lit(" more file matches)"))).otherwise("")
+    shown = F.concat(F.lit("\n  "), "body", F.lit("\n"), F.array_join(F.slice("_files", 1, most), "\n"), more)
+    entry = F.concat(head, F.when(F.col("_files").isNull(), F.concat(F.lit(" "), "body")).otherwise(shown))
+    found = rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("place", entry.alias("entry")))).alias("e"))
+    count = F.size("e").cast("string")
+    title = F.concat(F.lit("Found "), count, F.lit(f' matches for "{query}":')) if query else F.concat(F.lit("Session history ("), count, F.lit(" entries):"))
+    return found.select("session_id", F.concat(title, F.lit("\n\n"), F.array_join(F.transform("e", lambda x: x["entry"]), "\n\n")).alias("text"))
+
+
 def merge_expanded(hits: DataFrame, expanded: DataFrame) -> DataFrame:
-    """Hits (pos, summary) with the full text of entries that were asked for, which are added where they were no hits."""
-    full = expanded.select("pos", F.col("summary").alias("_full"))
-    return hits.join(full, "pos", "full_outer").select("pos", F.coalesce("_full", "summary").alias("summary"), F.col("_full").isNotNull().alias("expanded"))
+    """Hits (session_id, pos, summary) with the full text of entries that were asked for, which are added where they were no hits."""
+    full = expanded.select("session_id", "pos", F.col("summary").alias("_full"))
+    joined = hits.join(full, ["session_id", "pos"], "full_outer")
+    return joined.select("session_id", "pos", F.coalesce("_full", "summary").alias("summary"), F.col("_full").isNotNull().alias("expanded"))
 
 
 def window_of_lines(docs: DataFrame, offset: int, limit: int = fixed.PREVIEW_LINES, hay: str = "text") -> DataFrame:

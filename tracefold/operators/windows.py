@@ -68,6 +68,12 @@ def kept_stats(messages: DataFrame, cuts: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.count_if(~kept).alias("summarized"), F.count_if(kept).alias("kept"), F.round(chars / 4).cast("long").alias("kept_tokens"))
 
 
+def advance(cursors: DataFrame, done: DataFrame) -> DataFrame:
+    """Cursors (session_id, stage, entry_id, at, state) after runs ``done`` of the same shape: none ever goes back."""
+    both = cursors.withColumn("_new", F.lit(0)).unionByName(done.withColumn("_new", F.lit(1)))
+    return both.groupBy("session_id", "stage").agg(F.max(F.struct("at", "_new", "entry_id", "state")).alias("c")).select("session_id", "stage", "c.entry_id", "c.at", "c.state")
+
+
 def valid_cursors(cursors: DataFrame, entries: DataFrame, coverage: DataFrame) -> DataFrame:
     """(session_id, stage, at, state): cursors (session_id, stage, entry_id, state) whose entry is in the log.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracefold.functions import fixed, text
-from tracefold.operators import dropping, ledger, provenance, search, summary, windows
+from tracefold.operators import dropping, extraction, ledger, provenance, search, summary, windows
 from tracefold.sources import adapters
 from tracefold.sources.adapters import EVENTS_SQL, LOG_SQL
 from tracefold.sources.scratch import Scratch
@@ -107,7 +107,16 @@ def hash_dedup(spark, d):
     return rows.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.min("tok").alias("tok"))
 
 
-@query("truncate_words")
+_STOP = ", ".join(f"'{w}'" for w in sorted(w.replace("'", "''") for w in fixed.BRIEF_STOPWORDS))
+
+
+@query(
+    "truncate_words",
+    rf"""with f as (select doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) as flat from documents),
+  c as (select doc_id, flat, regexp_extract_all(flat, '[^\p{{L}}\p{{N}}]*[\p{{L}}\p{{N}}]+') as ch from f),
+  k as (select doc_id, flat, ch, list_filter(range(1, len(ch) + 1), lambda i: lower(regexp_extract(ch[i], '[\p{{L}}\p{{N}}]+$')) not in ({_STOP}))[{fixed.BRIEF_ASSISTANT_WORDS + 1}] as cut from c)
+  select doc_id, case when cut is null then flat else concat(array_to_string(ch[1:cut - 1], ''), '...(truncated)') end as brief from k""".replace("\\\\", "\\"),
+)
 def truncate_words(spark, d):
     return _documents(spark, d).select("doc_id", text.truncate_words(fixed.BRIEF_ASSISTANT_WORDS)("text").alias("brief"))
 
@@ -169,7 +178,7 @@ def search_regex(spark, d):
     case when p + 2 < len(ls) then concat(chr(10), '...(', len(ls) - p - 2, ' lines below)') else '' end) as snippet from m where p > 0""",
 )
 def line_snippet(spark, d):
-    return _documents(spark, d).select("doc_id", text.line_snippet(F.col("text"), PATTERN).alias("snippet")).filter("snippet is not null")
+    return search.regex(_documents(spark, d), PATTERN).select("doc_id", text.line_snippet(F.col("text"), PATTERN).alias("snippet"))
 
 
 @query("recent_entries", f"with {LOG_SQL} select session_id, pos, role, tok from (select *, row_number() over (partition by session_id order by pos desc) as rn from msg) where rn <= 3")
@@ -526,10 +535,7 @@ def _tier_sql(until: str) -> str:
 )
 def coverage_tiers(spark, d):
     """Counts and tokens by brand and tier, zeros included."""
-    tiers = _tiers(spark, d, BOUNDARY)
-    grid = tiers.select("brand").distinct().withColumn("tier", F.explode(F.array(*(F.lit(t) for t in fixed.TIERS))))
-    sums = tiers.groupBy("brand", "tier").agg(F.count("*").alias("n"), F.sum("tok").alias("tokens"))
-    return grid.join(sums, ["brand", "tier"], "left").select("brand", "tier", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    return provenance.coverage_grid(_tiers(spark, d, BOUNDARY), "brand")
 
 
 @query(
@@ -545,6 +551,48 @@ def support_histogram(spark, d):
     return provenance.support_histogram(adapters.supports(table(spark, d, "lineitem")))
 
 
+@query("support_stats", "with e as (select l_orderkey, count(distinct l_partkey) as s from lineitem group by 1) select count(*) as n, cast(sum(s) as bigint) as total, min(s) as least, max(s) as most, avg(s) as mean from e")
+def support_stats(spark, d):
+    return provenance.support_stats(adapters.supports(table(spark, d, "lineitem")))
+
+
+@query(
+    "related_by_session",
+    f"with {EVENTS_SQL} select session_id, id as reflection, count(distinct sup) as matched from refl where (session_id, sup) in (select session_id, id from obs where rel = 2) group by 1, 2",
+)
+def related_by_session(spark, d):
+    """Reflections that rest on observations of high relevance; ids are those of the session."""
+    ev = _events(spark, d)
+    found = adapters.observations(ev).filter("rel = 2").select("session_id", F.col("id").alias("observation"))
+    supports = adapters.reflections(ev).select("session_id", F.col("id").alias("reflection"), F.col("sup").alias("observation"))
+    return provenance.supported_by(supports, found, "session_id")
+
+
+@query(
+    "citing_by_session",
+    f"with {EVENTS_SQL} select session_id, id as observation, count(distinct covers) as matched from obs where (session_id, covers) in (select session_id, pos from src) group by 1, 2",
+)
+def citing_by_session(spark, d):
+    """Observations that cite source entries, and how many each does."""
+    ev = _events(spark, d)
+    cites = adapters.observations(ev).select("session_id", F.col("id").alias("observation"), F.col("covers").alias("entry"))
+    return provenance.citing(cites, adapters.sources(ev).select("session_id", F.col("pos").alias("entry")), "session_id").drop("entries")
+
+
+@query(
+    "reflect_status",
+    f"""with {EVENTS_SQL}, {_FOLD.format(obs="obs", drp="drp")}, p as (select session_id, pos, id, (session_id, sup) in (select session_id, id from act) as good from refl),
+  r as (select *, row_number() over (partition by session_id, id, good order by pos) as rn from p)
+  select session_id, id as content, case when not good then 'rejected' when rn > 1 then 'duplicate' else 'recorded' end as status, count(*) as n from r group by 1, 2, 3""",
+)
+def reflect_status(spark, d):
+    """What becomes of proposed reflections: their supports must be active, and none is recorded twice."""
+    ev = _events(spark, d)
+    active = ledger.fold(adapters.observations(ev), adapters.drops(ev))
+    proposals = adapters.reflections(ev).select("session_id", F.col("pos").alias("place"), F.col("id").alias("content"), F.array("sup").alias("support_ids"))
+    return extraction.reflect(proposals, active).groupBy("session_id", "content", "status").agg(F.count("*").alias("n"))
+
+
 _RATIO = "least(greatest(tokens / 2000.0, 0.10), 1.0)"
 
 
@@ -632,13 +680,21 @@ def _trigger_rows(spark, d) -> DataFrame:
     return ev.select("session_id", "pos", kind.alias("kind"), "tok").filter("kind is not null")
 
 
-@query("stage_due_batch")
+_TRIGGERS = f"""with recursive {EVENTS_SQL}, t as (select session_id, pos, event_type = 'purchase' as marker, tok, row_number() over (partition by session_id order by pos) as i from ev where event_type in ('view', 'click', 'purchase')),
+  run(session_id, i, pos, tokens, carry) as (
+    select session_id, i, pos, case when marker then 0 else tok end, case when marker or tok >= 400 then 0 else tok end from t where i = 1
+    union all
+    select t.session_id, t.i, t.pos, case when marker then 0 else carry + tok end, case when marker or carry + tok >= 400 then 0 else carry + tok end from run join t on t.session_id = run.session_id and t.i = run.i + 1)
+  select session_id, pos, tokens from run where tokens >= 400"""
+
+
+@query("stage_due_batch", _TRIGGERS)
 def stage_due_batch(spark, d):
     """Where each session's tokens since its last marker or trigger reach the threshold."""
     return due.triggers_batch(_trigger_rows(spark, d), 400)
 
 
-@query("stage_due_stream")
+@query("stage_due_stream", _TRIGGERS)
 def stage_due_stream(spark, d):
     """The same found by a stateful stream over files of the log, until all of them are read."""
     scratch = Scratch(spark, "stream")
@@ -648,4 +704,5 @@ def stage_due_stream(spark, d):
     out = f"{scratch.root}/out"
     run = due.triggers(stream, 400).writeStream.format("parquet").option("checkpointLocation", f"{scratch.root}/state").outputMode("append").trigger(availableNow=True).start(out)
     run.awaitTermination()
-    return spark.read.schema(f"session_id {rows.schema['session_id'].dataType.simpleString()}, pos long, tokens long").parquet(out)
+    found = spark.read.schema(f"session_id {rows.schema['session_id'].dataType.simpleString()}, pos long, tokens long, late boolean").parquet(out)
+    return found.filter("not late").drop("late")

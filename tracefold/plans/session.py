@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import fixed, text
 from tracefold.operators import blocks, dropping, extraction, ledger, provenance, search, serialize, summary, windows
 from tracefold.sources import config as settings
-from tracefold.sources import session_log
+from tracefold.sources import pending, session_log
 from tracefold.streaming import due
 
 
@@ -58,9 +59,33 @@ class Sessions:
 
     def page(self, query: str, number: int = 1, **where) -> DataFrame:
         hits = self.search(query, **where)
-        order = [F.desc("score"), F.col("session_id"), F.col("pos")] if "score" in hits.columns else [F.col("session_id"), F.col("pos")]
+        by = [c for c in ("pos", "first_pos", "path") if c in hits.columns]
+        order = [F.desc("score")] * ("score" in hits.columns) + [F.col("session_id"), *map(F.col, by)]
         return search.page(hits, order, number)
 
+    def recall_text(self, query: str = "", scope: str = "lineage", mode: str = "hybrid") -> DataFrame:
+        """(session_id, text): a search as text, with the files that the messages write."""
+        query, scope, mode = search.scope_and_mode(f"scope:{scope} mode:{mode} {query}")
+        hits = self.search(query, scope, mode)
+        pattern = None
+        if query:
+            pattern = search.safe_pattern(self.spark, query) if search.looks_like_regex(query) else "(?i)" + "|".join(re.escape(t) for t in search.query_terms(query))
+        order = [F.desc("score"), "pos"] if "score" in hits.columns else ["pos"]
+        body = F.coalesce("snippet", "summary") if {"snippet", "summary"} <= {*hits.columns} else F.col("snippet" if "snippet" in hits.columns else "summary")
+        rows = hits.withColumn("place", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))).withColumn("body", body)
+        return search.recall_text(rows.select("session_id", "place", "pos", "role", "body"), self.files(pattern, scope), query)
+
+    def files(self, pattern: str | None = None, scope: str = "all") -> DataFrame:
+        """Calls that write files, with their lines: all that aren't blank, or those that match and the first of them."""
+        calls = blocks.written_files(self._scoped(scope))
+        return search.file_matches(calls.withColumn("text", blocks.written_text(F.col("args"))), pattern)
+
+    def expanded_search(self, query: str, indices: list[int], **where) -> DataFrame:
+        """(session_id, pos, summary, expanded): hits, and messages by number in full."""
+        hits = self.search(query, **where)
+        hits = hits.select("session_id", "pos", F.col("snippet" if "snippet" in hits.columns else "summary").alias("summary"))
+        return search.merge_expanded(hits, self.expand(indices))
+
     def expand(self, indices: list[int]) -> DataFrame:
         """The full text of messages by their numbers."""
         return blocks.rendered(self.messages.filter(F.col("message_index").isin(indices)), full=True)
@@ -116,6 +141,12 @@ class Sessions:
     def drops(self) -> DataFrame:
         return session_log.drop_events(self.entries)
 
+    @property
+    def markers(self) -> dict[str, DataFrame]:
+        """What counts for clocks, by stage: more than the events that count for the memory."""
+        kinds = {"observed": fixed.OBSERVED, "reflected": fixed.REFLECTED, "dropped": fixed.DROPPED}
+        return {stage: session_log.markers(self.entries, kind) for stage, kind in kinds.items()}
+
     def active(self) -> DataFrame:
         return ledger.fold(self.observations, self.drops)
 
@@ -133,12 +164,19 @@ class Sessions:
         return found.join(at.withColumnRenamed("_entry", "entry"), ["session_id", "entry"], "left")
 
     def related(self, entry_ids: list[str]) -> tuple[DataFrame, DataFrame]:
-        """Observations that cite any of the entries, and reflections that rest on those."""
-        wanted = self.spark.createDataFrame([(e,) for e in entry_ids], "entry string")
-        cites = self.active().select(F.col("id").alias("observation"), F.explode("source_ids").alias("entry"))
-        found = provenance.citing(cites, wanted)
-        supports = self.reflections.select(F.col("id").alias("reflection"), F.explode("support_ids").alias("observation"))
-        return found, provenance.supported_by(supports, found)
+        """Observations that cite any of the entries, and reflections that rest on those, each of its own session.
+
+        (session_id, id, content, timestamp, relevance, status, matched): status is active or dropped, and matched has
+        the cited ids in their order; (session_id, id, content, matched), matched being how many of the observations.
+        """
+        first = ledger.keep_first(self.observations, ["session_id", "id"], ["pos", "idx"])
+        found = first.withColumn("matched", F.filter("source_ids", lambda e: e.isin(*entry_ids))).filter(F.size("matched") > 0)
+        gone = self.drops.select("session_id", "id", F.lit("dropped").alias("_gone")).distinct()
+        found = found.join(gone, ["session_id", "id"], "left").select("session_id", "id", "content", "timestamp", "relevance", F.coalesce("_gone", F.lit("active")).alias("status"), "matched")
+        learnt = ledger.keep_first(self.reflections, ["session_id", "id"], ["pos", "idx"])
+        supports = learnt.select("session_id", F.col("id").alias("reflection"), F.explode("support_ids").alias("observation"))
+        counts = provenance.supported_by(supports, found.withColumnRenamed("id", "observation"), "session_id").withColumnRenamed("reflection", "id")
+        return found, counts.join(learnt, ["session_id", "id"]).select("session_id", "id", "content", "matched")
 
     def memory(self) -> DataFrame:
         """(session_id, memory): active observations and reflections as text."""
@@ -148,14 +186,62 @@ class Sessions:
         """(session_id, observed, reflected, dropped, held, fullness, urgency, max_drops): tokens since each marker, and the pool."""
         sources = session_log.entry_tokens(self.entries).filter("is_source")
         rows = None
-        for name, markers in (("observed", self.observations), ("reflected", self.reflections), ("dropped", self.drops)):
+        for name, markers in self.markers.items():
             since = ledger.tokens_since_coverage(sources, markers).withColumnRenamed("tokens", name)
             rows = since if rows is None else rows.join(since, "session_id", "full_outer")
         return rows.join(dropping.pool(self.active(), self.config["observationsPoolMaxTokens"]).withColumnRenamed("tokens", "held"), "session_id", "left")
 
-    def due(self) -> DataFrame:
+    def cursors(self, kept: DataFrame) -> DataFrame:
+        """Cursors (session_id, stage, entry_id, state) as positions, where their entries are still in the log."""
+        covered = [ledger.latest_coverage(m).select("session_id", F.lit(k).alias("stage"), "covered") for k, m in self.markers.items()]
+        return windows.valid_cursors(kept, self.entries, reduce(DataFrame.unionByName, covered))
+
+    def due(self, cursors: DataFrame | None = None, pending: DataFrame | None = None) -> DataFrame:
+        """Stages that are due. cursors: as kept; pending: waiting batches (session_id, kind, covers_up_to_id, tok)."""
         sources = session_log.entry_tokens(self.entries).filter("is_source")
-        return due.due(sources, {"observed": self.observations, "reflected": self.reflections, "dropped": self.drops}, self.active(), self.config)
+        if cursors is not None:
+            cursors = self.cursors(cursors).filter("state <> 'initial'")
+        if pending is not None:
+            at = self.entries.select("session_id", F.col("entry_id").alias("covers_up_to_id"), F.col("pos").alias("covers"))
+            pending = pending.join(at, ["session_id", "covers_up_to_id"], "left").select("session_id", "kind", "covers", "tok")
+        return due.due(sources, self.markers, self.active(), self.config, cursors, pending)
+
+    def coverage(self) -> DataFrame:
+        """(relevance, tier, n, tokens): active observations by how many reflections rest on them."""
+        own = self.active().select(F.struct("session_id", "id").alias("observation"), "relevance", "tok")
+        supports = self.reflections.select(F.struct("session_id", "id").alias("reflection"), F.explode("support_ids").alias("o"), "session_id")
+        tiers = provenance.coverage(own, supports.select("reflection", F.struct("session_id", F.col("o").alias("id")).alias("observation")))
+        return provenance.coverage_grid(tiers, "relevance", [*fixed.RELEVANCE])
+
+    def drop(self) -> DataFrame:
+        """(session_id, id, drop_rank): active observations that the pool's rules give up."""
+        supports = self.reflections.select("session_id", F.col("id").alias("reflection"), F.explode("support_ids").alias("id"))
+        return extraction.drop(self.active(), supports, self.config["observationsPoolMaxTokens"])
+
+    def reflect(self, proposals: DataFrame, also: DataFrame | None = None) -> DataFrame:
+        """Proposed reflections (session_id, content, support_ids) with what becomes of them. also: observations not in the log yet."""
+        active = self.active().select("session_id", "id", "pos")
+        active = active if also is None else active.unionByName(also.select("session_id", "id", F.lit(1 << 60).alias("pos")))
+        return extraction.reflect(proposals, active, self.reflections)
+
+    def consolidate(self, batch_no: int, extract: extraction.Extractor = extraction.by_rules, learn=None) -> DataFrame:
+        """What observing, reflecting and dropping, one after the other, leave for the ledger, as batches to be staged.
+
+        Only sessions run whose stage is due. ``learn`` takes (session_id, id, content, relevance), the active
+        observations and the new ones, and returns proposals (session_id, content, support_ids).
+        """
+        ready = self.due().persist()
+        at = lambda stage: ready.filter(stage).select("session_id")
+        last = session_log.entry_tokens(self.entries).filter("is_source").groupBy("session_id").agg(F.max_by("entry_id", "pos").alias("covers_up_to_id"))
+        covers = last.select("session_id", F.lit(batch_no).cast("long").alias("batch_no"), "covers_up_to_id")
+        fresh = self.observe(extract).filter("status = 'recorded'").drop("status").join(at("observe"), "session_id", "left_semi").persist()
+        out = [pending.batch(fresh, "observed", covers)]
+        if learn is not None:
+            known = self.active().select("session_id", "id", "content", "relevance").unionByName(fresh.select("session_id", "id", "content", "relevance"))
+            learnt = self.reflect(learn(known.join(at("reflect"), "session_id", "left_semi")), fresh)
+            out.append(pending.batch(learnt.filter("status = 'recorded'").drop("status"), "reflected", covers))
+        out.append(pending.batch(self.drop().join(at("drop"), "session_id", "left_semi").select("session_id", "id"), "dropped", covers))
+        return reduce(DataFrame.unionByName, out)
 
     def source_text(self, recall: bool = True) -> DataFrame:
         """(session_id, pos, entry_id, line): source entries as recall shows them."""
@@ -163,7 +249,7 @@ class Sessions:
 
     def observe(self, extract: extraction.Extractor = extraction.by_rules) -> DataFrame:
         """What an extractor finds in the source entries since the last covered one, as far as a chunk holds."""
-        after = ledger.latest_coverage(self.observations).select("session_id", F.col("covered").alias("at"))
+        after = ledger.latest_coverage(self.markers["observed"]).select("session_id", F.col("covered").alias("at"))
         fresh = session_log.entry_tokens(self.entries).filter("is_source").join(after, "session_id", "left").filter(F.col("pos") > F.coalesce("at", F.lit(-1)))
         chunk = ledger.cap_newest(fresh, self.config["observerChunkMaxTokens"])
         return extraction.observe(serialize.addressed(self.entries, chunk), extract, self.observations)
@@ -186,13 +272,18 @@ class Sessions:
         return found.withColumn("first_kept_entry_id", F.when(F.col("reason") == "compact_all", "").otherwise(F.col("first_kept_entry_id")))
 
     def compact(self) -> DataFrame:
-        """(session_id, first_kept_entry_id, summary, n_blocks): the live messages before the cut, merged with the last summary."""
+        """(session_id, first_kept_entry_id, summary, n_blocks, tokens_before, summarized, kept, kept_tokens).
+
+        The live messages before the cut, merged with the last summary; what the live ones held, and what stays.
+        """
         live = self.live().withColumn("_i", F.expr("row_number() over (partition by session_id order by pos) - 1"))
         cuts = self.cut().filter("reason in ('cut', 'compact_all')")
         before = live.join(cuts, "session_id").filter((F.col("reason") == "compact_all") | (F.col("_i") < F.col("cut")))
         previous = session_log.compactions(self.entries).filter("summary is not null").groupBy("session_id").agg(F.max_by("summary", "pos").alias("summary"))
         made = summary.compile_sessions(summary.prepared(blocks.normalize(before)), previous)
-        found = cuts.select("session_id", "first_kept_entry_id").join(made, "session_id")
+        held = live.groupBy("session_id").agg(F.round(F.sum(F.char_length("text")) / 4).cast("long").alias("tokens_before"))
+        kept = windows.kept_stats(live.select("session_id", "pos", "text"), cuts.select("session_id", "cut"))
+        found = cuts.select("session_id", "first_kept_entry_id").join(made, "session_id").join(held, "session_id").join(kept, "session_id")
         return summary.with_memory(found, self.memory()) if self.config["memory"] else found
 
     def outcome(self, trigger: str) -> str:

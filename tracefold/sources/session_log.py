@@ -6,7 +6,7 @@ Lines that are blank or no JSON are counted and skipped, records that fail their
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import fixed
@@ -17,8 +17,12 @@ _REFLECTION = "struct<id:string,content:string,supportingObservationIds:array<st
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(session_id, line, raw): all lines of each file, numbered; a session is named like its file."""
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.jsonl)?$", 1)
-    return spark.read.text(path, wholetext=True).select(name.alias("session_id"), F.posexplode(F.split("value", "\n")).alias("line", "raw"))
+    name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(?:\.jsonl)?$", 1)
+    # Files are read in splits. Numbers that rise within a task keep the order there, the split's place that of the splits.
+    read = spark.read.option("lineSep", "\n").text(path)
+    rows = read.select(F.url_decode(name).alias("session_id"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.col("value").alias("raw"))
+    at = F.row_number().over(Window.partitionBy("session_id").orderBy("_block", "_at")) - 1
+    return rows.select("session_id", at.alias("line"), "raw")
 
 
 def bad_lines(rows: DataFrame) -> DataFrame:
@@ -115,12 +119,33 @@ def drop_events(log: DataFrame) -> DataFrame:
     return _covers(rows.select("session_id", "pos", "covers_id", "idx", F.col("r").alias("id")), log)
 
 
+def markers(log: DataFrame, kind: str) -> DataFrame:
+    """(session_id, pos, covers): entries of a kind that count for clocks.
+
+    They name an entry that they cover and hold some records, of whatever shape: a record that fails its checks keeps an
+    entry out of the memory, but what it covers has been read.
+    """
+    key = {fixed.OBSERVED: "observations", fixed.REFLECTED: "reflections", fixed.DROPPED: "observationIds"}[kind]
+    rows = log.filter((F.col("type") == "custom") & (F.col("custom_type") == kind))
+    held = F.size(F.try_variant_get("v", f"$.data.{key}", "array<variant>"))
+    found = rows.select("session_id", "pos", _string("v", "$.data.coversUpToId").alias("covers_id"), held.alias("_n"))
+    return _covers(found.filter("covers_id is not null and _n > 0").drop("_n"), log)
+
+
 def compactions(log: DataFrame) -> DataFrame:
     """(session_id, pos, first_kept_entry_id, summary, full_fold): details may be nested under their type."""
     fold = F.coalesce(F.try_variant_get("v", "$.details.fullFold", "boolean"), F.try_variant_get("v", "$.details['om.folded'].fullFold", "boolean"), F.lit(False))
     return log.filter("type = 'compaction'").select("session_id", "pos", "first_kept_entry_id", "summary", fold.alias("full_fold"))
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Adds records to a table that is partitioned by session."""
-    df.write.mode("append").partitionBy("session_id").parquet(path)
+def append(df: DataFrame, path: str, buckets: int = 64) -> None:
+    """Adds records to a table in a fixed number of folders, each with the sessions whose hash falls there.
+
+    So an addition writes at most ``buckets`` files, however many sessions it has; a filter on ``bucket_of`` reads one.
+    """
+    rows = df.withColumn("bucket", bucket_of(F.col("session_id"), buckets))
+    rows.repartition(buckets, "bucket").write.mode("append").partitionBy("bucket").parquet(path)
+
+
+def bucket_of(session: Column, buckets: int = 64) -> Column:
+    return F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int")
