@@ -33,6 +33,7 @@ MIN_DOCUMENTS, LEAST, TOXIC_WEIGHT = 3, 16, 0.35
 EPOCHS, RATE, DECAY, SEED = 200, 0.05, 1e-5, 7
 BLOCK = 2 << 20
 WORDS = 200_000
+PART = 20_000
 _WORDS = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 _PRIME = np.uint64(0x100000001B3)
 
@@ -135,16 +136,21 @@ def fit(documents: list[str], labels: np.ndarray) -> Model | Constant:
     """Full-batch Adam on embeddings, class vectors and biases together."""
     if not 0 < labels.sum() < len(labels):
         return Constant(float(labels.mean()) if len(labels) else 0.0)
-    split = [_WORDS(t.lower()) for t in documents]
-    vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for own in split for w in own))}
-    held = np.array([i for i, own in enumerate(split) if own])
+    vocabulary: dict[str, int] = {}
+    own = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in _WORDS(t.lower())], np.int64) for t in documents]
+    size = np.array([*map(len, own)])
+    held = np.flatnonzero(size)
     labels = labels[held].astype(np.float64)
     if not 0 < labels.sum() < len(labels):
         return Constant(float(labels.mean()) if len(labels) else 0.0)
-    size = np.array([len(split[i]) for i in held])
-    words = np.fromiter((vocabulary[w] for own in split for w in own), np.int64, int(size.sum()))
-    bucket, first = subwords([*vocabulary])
-    many = np.diff(np.append(first, len(bucket)))
+    size, words = size[held], np.concatenate(own)
+    del own
+    # a part of the vocabulary at a time, as hashing takes much more memory than its result
+    listed = [*vocabulary]
+    parts = [subwords(listed[at : at + PART]) for at in range(0, len(listed), PART)]
+    many = np.concatenate([np.diff(np.append(f, len(b))) for b, f in parts])
+    bucket, first = np.concatenate([b for b, _ in parts]), np.cumsum(many) - many
+    del parts, listed
     begin, each = windows(size)
     texts_of = np.unique(np.repeat(np.arange(len(held)), size) * len(vocabulary) + words) % len(vocabulary)
     frequent = np.zeros(1 << BITS, np.float32)
