@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracefold.functions import fixed, text
-from tracefold.operators import dropping, extraction, ledger, provenance, search, summary, windows
+from tracefold.operators import blocks, dropping, extraction, ledger, provenance, search, summary, windows
 from tracefold.sources import adapters
 from tracefold.sources.adapters import EVENTS_SQL, LOG_SQL
 from tracefold.sources.scratch import Scratch
@@ -706,3 +706,240 @@ def stage_due_stream(spark, d):
     run.awaitTermination()
     found = spark.read.schema(f"session_id {rows.schema['session_id'].dataType.simpleString()}, pos long, tokens long, late boolean").parquet(out)
     return found.filter("not late").drop("late")
+
+
+# ------------------------------------------------------------------------------------------------ cuts, cursors and pools
+
+
+_OWN = f"""with {LOG_SQL}, s as (select session_id, count(*) as live, coalesce(max(pos) filter (role = 'user'), 0) as u from msg group by 1),
+  own as (select session_id, live, u, case when live > 2 and u > 0 then u end as cut,
+    case when live <= 2 then 'too_few_live_messages' when u <= 0 then 'compact_all' else 'cut' end as reason from s)"""
+
+
+@query(
+    "host_cut",
+    f"""{_OWN}, a as (select *, case when session_id % 3 < 2 and session_id % 3 * 2 < live then session_id % 3 * 2 end as spot from own)
+  select session_id, cast(live as bigint) as live, case when spot > 0 then spot when spot = 0 and u > 0 then null else cut end as cut,
+    case when spot > 0 then 'cut' when spot = 0 and u > 0 then 'too_few_live_messages' else reason end as reason from a""",
+)
+def host_cut(spark, d):
+    """A host asks to keep everything, everything from the third entry on, or an entry that isn't there."""
+    log = _log(spark, d)
+    at = F.when(F.col("session_id") % 3 < 2, F.col("session_id") % 3 * 2)
+    return windows.host_cut(log, log.select("session_id", at.alias("asked")).distinct())
+
+
+@query(
+    "kept_stats",
+    f"""{_OWN} select session_id, count(*) filter (not coalesce(pos >= cut, false)) as summarized, count(*) filter (pos >= cut) as kept,
+    cast(round(sum(case when pos >= cut then length(text) else 0 end) / 4.0) as bigint) as kept_tokens from msg join own using (session_id) group by 1""",
+)
+def kept_stats(spark, d):
+    log = _log(spark, d)
+    return windows.kept_stats(log, windows.own_cut(log))
+
+
+def _named(p: Column) -> Column:
+    return F.concat(F.lit("e"), p.cast("string"))
+
+
+def _last(rows: DataFrame, stage: str, shift: int) -> DataFrame:
+    """A cursor of the stage in each session, ``shift`` entries from its last row."""
+    return rows.groupBy("session_id").agg(F.max("pos").alias("p")).select("session_id", F.lit(stage).alias("stage"), _named(F.col("p") + shift).alias("entry_id"), F.lit("done").alias("state"))
+
+
+@query(
+    "valid_cursors",
+    f"""with {EVENTS_SQL}, c as (select session_id, 'reflect' as stage, max(pos) - 5 as p from refl group by 1 union all select session_id, 'drop', max(pos) + 1000000 from drp group by 1),
+  m as (select session_id, 'reflect' as stage, max(covers) as covered from refl where covers >= 0 group by 1 union all select session_id, 'drop', max(covers) from drp where covers >= 0 group by 1)
+  select c.session_id, c.stage, coalesce(e.pos, covered) as at, case when e.pos is null then 'initial' else 'done' end as state
+  from c left join ev e on e.session_id = c.session_id and e.pos = p left join m on m.session_id = c.session_id and m.stage = c.stage where coalesce(e.pos, covered) is not null""",
+)
+def valid_cursors(spark, d):
+    """Cursors of reflections that may point before the log, and of drops that point beyond it."""
+    ev = _events(spark, d)
+    refl, drp = adapters.reflections(ev), adapters.drops(ev)
+    cursors = _last(refl, "reflect", -5).unionByName(_last(drp, "drop", 1_000_000))
+    covered = [ledger.latest_coverage(rows).select("session_id", F.lit(stage).alias("stage"), "covered") for rows, stage in ((refl, "reflect"), (drp, "drop"))]
+    return windows.valid_cursors(cursors, ev.select("session_id", "pos", _named(F.col("pos")).alias("entry_id")), covered[0].unionByName(covered[1]))
+
+
+@query(
+    "advanced_cursors",
+    f"""with {EVENTS_SQL}, c as (select session_id, arg_min(covers, pos) as a, arg_max(covers, pos) as b from obs group by 1)
+  select session_id, 'observe' as stage, concat('e', greatest(a, b)) as entry_id, greatest(a, b) as at, case when b >= a then 'new' else 'old' end as state from c""",
+)
+def advanced_cursors(spark, d):
+    """Cursors at what each session's first observation covers, after a run that covered what its last one does."""
+    obs = adapters.observations(_events(spark, d)).groupBy("session_id").agg(F.min_by("covers", "pos").alias("a"), F.max_by("covers", "pos").alias("b"))
+    side = lambda c, state: obs.select("session_id", F.lit("observe").alias("stage"), _named(F.col(c)).alias("entry_id"), F.col(c).alias("at"), F.lit(state).alias("state"))
+    return windows.advance(side("a", "old"), side("b", "new"))
+
+
+@query(
+    "earlier_marker",
+    f"with {EVENTS_SQL}, f as (select session_id, min(pos) filter (event_type = 'purchase') as a, min(pos) filter (event_type = 'error') as b from ev group by 1) select session_id, least(coalesce(a, b), coalesce(b, a)) as at from f",
+)
+def earlier_marker(spark, d):
+    """The first entry that observes or drops."""
+    first = lambda kind: F.min(F.when(F.col("event_type") == kind, F.col("pos")))
+    return _events(spark, d).groupBy("session_id").agg(first("purchase").alias("a"), first("error").alias("b")).select("session_id", ledger.earlier(F.col("a"), F.col("b")).alias("at"))
+
+
+@query(
+    "pool_pressure",
+    f"""with {EVENTS_SQL}, {_FOLD.format(obs="obs", drp="drp")}, p as (select session_id, cast(sum(tok) as bigint) as tokens, count(*) filter (rel < 3) as droppable from act group by 1),
+  f as (select *, case when tokens > 0 then tokens / 2000.0 else 0.0 end as fullness from p)
+  select *, case when fullness < 0.30 then 'low' when fullness < 0.60 then 'medium' else 'high' end as urgency,
+    case when droppable = 0 or fullness < 0.10 then 0 else cast(greatest(1, floor(droppable * (0.10 + (least(fullness, 1.0) - 0.10) / 0.90 * 0.40))) as bigint) end as max_drops
+  from (select session_id, tokens, droppable, cast(fullness as double) as fullness from f)""",
+)
+def pool_pressure(spark, d):
+    """How full each session's pool is, how urgent dropping is, and how many may go."""
+    ev = _events(spark, d)
+    return dropping.pool(ledger.fold(adapters.observations(ev), adapters.drops(ev)), 2000)
+
+
+@query("drop_proposals", f"select session_id, id, drop_rank from ({ORACLES['drop_candidates']})")
+def drop_proposals(spark, d):
+    """What the dropper proposes, with supports counted from the reflections."""
+    ev = _events(spark, d)
+    supports = adapters.reflections(ev).select("session_id", F.col("id").alias("reflection"), F.col("sup").alias("id"))
+    found = extraction.drop(ledger.fold(adapters.observations(ev), adapters.drops(ev)), supports, 2000)
+    return found.withColumn("drop_rank", F.col("drop_rank").cast("long"))
+
+
+def _first_line(body: str, ids: list[str]) -> list[dict]:
+    """An extractor for the query below: the beginning of the text, of a relevance that is known only for some texts."""
+    return [{"content": body.split("\n")[0][:80], "relevance": "high" if "er" in body else "odd", "source_ids": ids}]
+
+
+@query(
+    "observe_status",
+    f"""with {LOG_SQL}, c as (select session_id, trim(left(string_split(text, chr(10))[1], 80)) as content, contains(text, 'er') as known from msg),
+  g as (select session_id, content, content = '' or not known as bad, count(*) as n from c group by 1, 2, 3)
+  select session_id, sha256(content)[1:12] as id, case when bad then 'rejected' else 'recorded' end as status, case when bad then n else 1 end as n, cast(ceil(length(content) / 4.0) as bigint) as tok from g
+  union all select session_id, sha256(content)[1:12], 'duplicate', n - 1, cast(ceil(length(content) / 4.0) as bigint) from g where not bad and n > 1""",
+)
+def observe_status(spark, d):
+    """What becomes of proposed observations: one from each message."""
+    rows = _log(spark, d).select("session_id", "text", F.array("entry_id").alias("source_ids"))
+    return extraction.observe(rows, _first_line).groupBy("session_id", "id", "status").agg(F.count("*").alias("n"), F.min("tok").alias("tok"))
+
+
+# ------------------------------------------------------------------------------------------------ texts, paths and calls
+
+
+@query(
+    "merge_expanded",
+    f"""with {LOG_SQL}, h as (select session_id, pos, left(text, 40) as summary from msg where role = 'user'), x as (select session_id, pos, text from msg where pos <= 1)
+  select session_id, pos, coalesce(x.text, h.summary) as summary, x.text is not null as expanded from h full join x using (session_id, pos)""",
+)
+def merge_expanded(spark, d):
+    """The user's messages in short, with the first two entries in full."""
+    log = _log(spark, d)
+    hits = log.filter("role = 'user'").select("session_id", "pos", F.substring("text", 1, 40).alias("summary"))
+    return search.merge_expanded(hits, log.filter("pos <= 1").select("session_id", "pos", F.col("text").alias("summary")))
+
+
+@query(
+    "truncate_records",
+    """select doc_id, case when length(t) > 500 then concat(left(t, 500), '… [truncated ', length(t) - 500, ' chars]') else t end as record
+  from (select doc_id, coalesce(text, '') as t from documents)""",
+)
+def truncate_records(spark, d):
+    return _documents(spark, d).select("doc_id", text.truncate_record(F.col("text"), 500).alias("record"))
+
+
+@query(
+    "term_snippet",
+    """with t as (select doc_id, coalesce(text, '') as t, instr(lower(coalesce(text, '')), 'heing') as spot from documents),
+  w as (select *, greatest(spot - 60, 1) as a, least(spot + 65, length(t) + 1) as b from t where spot > 0)
+  select doc_id, concat(case when a > 1 then '...' else '' end, substring(t, a, b - a), case when b <= length(t) then '...' else '' end) as snippet from w""",
+)
+def term_snippet(spark, d):
+    return _documents(spark, d).select("doc_id", text.snippet(F.col("text"), "heing").alias("snippet")).filter("snippet is not null")
+
+
+_TALK = {0: "Hmm, wait - ", 1: "okay so ", 2: "So, so, so, ", 3: ""}
+
+
+@query(
+    "strip_self_talk",
+    "select doc_id, regexp_replace(concat(case doc_id % 4 "
+    + " ".join(f"when {k} then '{v}'" for k, v in _TALK.items())
+    + f" end, left(coalesce(text, ''), 100)), '{fixed.SELF_TALK}', '') as said from documents",
+)
+def strip_self_talk(spark, d):
+    """The beginning of each text after words that say nothing; at most two of them go."""
+    before = F.element_at(F.create_map(*(F.lit(x) for kv in _TALK.items() for x in kv)), (F.col("doc_id") % 4).cast("int"))
+    return _documents(spark, d).select("doc_id", text.strip_self_talk(F.concat(before, F.substring("text", 1, 100))).alias("said"))
+
+
+@query(
+    "compress_bash",
+    rf"""with l as (select doc_id, string_split(concat('cd /work && ', left(coalesce(text, ''), doc_id % 300), ' | sort -u | head -3'), chr(10)) as ls from documents),
+  j as (select doc_id, array_to_string(list_filter(list_transform(ls, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), '; ') as line from l),
+  c as (select doc_id, regexp_replace(regexp_replace(line, '^cd\s+\S+\s*&&\s*', ''), '{fixed.PIPE_TAIL}', '') as line from j),
+  h as (select doc_id, line, left(line, 119) as head, 119 - instr(reverse(left(line, 119)), ' ') as spot from c)
+  select doc_id, case when length(line) <= 120 then line else concat(rtrim(left(line, case when instr(head, ' ') > 0 and spot > 72 then spot else 117 end)), '...') end as command from h""",
+)
+def compress_bash(spark, d):
+    """Texts as commands, with a change of directory before and formatting pipes after them."""
+    body = F.substring(F.col("text"), F.lit(1), (F.col("doc_id") % 300).cast("int"))
+    return _documents(spark, d).select("doc_id", text.compress_bash(F.concat(F.lit("cd /work && "), body, F.lit(" | sort -u | head -3"))).alias("command"))
+
+
+_CWD = "http://therha.example.com/en"
+
+
+@query(
+    "short_paths",
+    f"""select page_id, case when starts_with(url, '{_CWD}/') then concat('.', substring(url, {len(_CWD) + 1}))
+  when len(string_split(url, '/')) > 3 then concat('.../', array_to_string(string_split(url, '/')[-3:], '/')) else url end as path from pages""",
+)
+def short_paths(spark, d):
+    return table(spark, d, "pages").select("page_id", text.short_path(F.col("url"), _CWD).alias("path"))
+
+
+@query(
+    "common_directories",
+    """with p as (select page_id, regexp_extract(url, '^https?://([^/]+)', 1) as host, string_split(regexp_replace(url, '^https?:/', ''), '/') as a from pages),
+  w as (select page_id, a, lag(a) over (partition by host order by page_id) as b from p),
+  n as (select page_id, a, list_max(list_filter(range(1, least(len(a), len(b))), lambda i: a[1:i] = b[1:i])) as n from w)
+  select page_id, case when n >= 2 then concat(array_to_string(a[1:n], '/'), '/') else '' end as directory from n""",
+)
+def common_directories(spark, d):
+    """The directory that a page shares with the page before it of the same host."""
+    path = F.regexp_replace("url", "^https?:/", "")
+    rows = table(spark, d, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), path.alias("path"))
+    before = F.lag("path").over(Window.partitionBy("host").orderBy("page_id"))
+    return rows.withColumn("_before", before).select("page_id", text.common_directory(F.array_compact(F.array("path", "_before"))).alias("directory"))
+
+
+_ARGS = {
+    0: '{{"path": "{0}", "content": "x"}}',
+    1: '{{"command": "{0}", "path": 7}}',
+    2: '{{"query": "{0}"}}',
+    3: '{{"j": "{0}", "k": 1}}',
+    4: '{{"path": "{0}", "content": ""}}',
+    5: '{{"path": "{0}", "oldText": "", "newText": "y"}}',
+}
+
+
+@query(
+    "call_summaries",
+    "with c as (select p_partkey, case p_partkey % 6 "
+    + " ".join(f"when {k} then concat('{v.format(chr(0)).split(chr(0))[0]}', p_name, '{v.format(chr(0)).split(chr(0))[1]}')" for k, v in _ARGS.items())
+    + """ end as args from part),
+  s as (select p_partkey, args, case when json_type(args, '$.path') = 'VARCHAR' then json_extract_string(args, '$.path') end as path from c)
+  select p_partkey, path, case when path is not null then concat('path=', path) when json_exists(args, '$.command') then concat('command=', json_extract_string(args, '$.command'))
+    when json_exists(args, '$.query') then concat('query=', json_extract_string(args, '$.query')) else array_to_string(json_keys(args), ', ') end as summary,
+    path is not null and (coalesce(json_extract_string(args, '$.content'), '') <> '' or coalesce(json_extract_string(args, '$.newText'), '') <> '') as writes from s""",
+)
+def call_summaries(spark, d):
+    """Calls by their arguments: the path, what is shown of them, and whether they write something."""
+    parts = {k: v.format("\0").split("\0") for k, v in _ARGS.items()}
+    args = F.coalesce(*(F.when(F.col("p_partkey") % 6 == k, F.concat(F.lit(a), "p_name", F.lit(b))) for k, (a, b) in parts.items()))
+    rows = table(spark, d, "part").select("p_partkey", args.alias("args"))
+    return rows.select("p_partkey", blocks.path_of(F.col("args")).alias("path"), blocks.summary_of(F.col("args")).alias("summary"), blocks.content_bearing(F.col("args")).alias("writes"))
