@@ -31,7 +31,10 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tracefold.llm.common import blocks, small_batches
 
 UNIT = 64
+#: Characters that are coded together: what goes in step costs by the step, so large blocks cost less.
 BLOCK = 4 << 20
+#: Bytes of media that are given on at once, with their payloads and tensors.
+PIECE = 1 << 20
 #: Blocks (in a scan of one component) or MCUs (in one of several) between restart markers.
 RESTART = 64
 _PER_MCU = 6
@@ -553,7 +556,7 @@ def store_and_read(docs: DataFrame) -> DataFrame:
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches, "text", BLOCK // 4):
+        for b in blocks(batches, "text", BLOCK):
             found = b.column(1).to_pylist()
             media = encode([payload(t) for t in found])
             images = [parse(m) for m in media]
@@ -571,7 +574,10 @@ def store_and_read(docs: DataFrame) -> DataFrame:
                 [i.width for i in images],
                 rgb,
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            starts = np.flatnonzero(np.diff(np.cumsum([*map(len, media)]) // PIECE, prepend=-1)).tolist()
+            for start, stop in zip(starts, [*starts[1:], len(media)], strict=True):
+                yield whole.slice(start, stop - start)
 
     schema = "doc_id long, n_bytes long, media binary, payload binary, height int, width int, rgb binary"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
